@@ -83,12 +83,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * backward[starts] ^ (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and owning row of every word: a run of ASCII letters, digits and non-ASCII bytes."""
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and owning row of every word: a run of ASCII letters, digits and non-ASCII bytes, or of ``table``'s bytes."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = _WORD[data]
+    inside = table[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     before = np.empty(len(data), bool)
