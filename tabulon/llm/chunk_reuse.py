@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm import bpe, shared
@@ -17,7 +18,9 @@ from tabulon.llm import kernels as K
 #: A cut falls on average after so many bytes, a power of two, and never within so many of the last.
 AVERAGE, LEAST = 1024, 128
 #: Bytes that a task gathers before it sends them on.
-SENT_BYTES = 16 << 20
+SENT_BYTES = 8 << 20
+#: Digests of shared chunks that are broadcast at most (8 bytes each); beyond it every text is taken to have some.
+SHARED_LIMIT = 4_000_000
 
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -47,6 +50,17 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([offsets[:-1][offsets[1:] > offsets[:-1]], np.array(kept, np.int64)]))
 
 
+def _contents(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of a slice's chunks, chunks before each row, and the chunks' 64-bit digests."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    data, offsets = K.utf8(part)
+    starts, raw = cuts(data, offsets), memoryview(data.tobytes())
+    edges = [*starts.tolist(), len(raw)]
+    digests = np.fromiter((digest(raw[a:b]) for a, b in zip(edges, edges[1:])), np.uint64, len(starts))
+    return starts, np.searchsorted(starts, offsets), digests
+
+
 @lru_cache(maxsize=1)
 def _pattern():
     import regex
@@ -153,9 +167,11 @@ def _inbox(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Token ids of every document; a chunk that many documents share is encoded once.
 
-    Chunks go by their content's 128-bit digest to one task, a text once from each task that has it;
-    there each distinct one is encoded, and its tokens go to the tasks that join documents. Both
-    exchanges carry compressed packs, not rows.
+    A first pass counts chunks by 64-bit digest. Texts all of whose chunks occur once are encoded
+    where they lie. The others' chunks go by their content's 128-bit digest to one task, a text once
+    from each task that has it; there each distinct one is encoded, and its tokens go to the tasks
+    that join documents. Both exchanges carry compressed packs, not rows. The digests that occur
+    again are broadcast up to SHARED_LIMIT; beyond it every text goes by its chunks.
 
     Result: the id column, ``n_tokens``, ``tokens`` (little-endian unsigned integers, 16-bit if the
     vocabulary fits, else 32-bit) and ``n_bytes`` (of the decoded text); a row for every input row.
@@ -169,25 +185,58 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = bpe.DEFAULT_V
     packed = T.StructType([T.StructField("target", T.IntegerType()), T.StructField("blob", T.BinaryType())])
     schema = T.StructType([T.StructField(id_column, kind), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("n_bytes", T.LongType())])
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(K.strings(batch.column(0))):
+                found, n = np.unique(_contents(part)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["digest", "n"])
+
+    source = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
+    tallied = source.select("text").mapInArrow(tally, "digest bigint, n bigint").groupBy("digest").agg(F.sum("n").alias("n"))
+    again = shared.Workspace(spark, "chunks").table(tallied.where("n > 1").select("digest"), "again")
+    known_again = None
+    if again.count() <= SHARED_LIMIT:
+        known_again = spark.sparkContext.broadcast(np.sort(again.toArrow()["digest"].to_numpy().view(np.uint64)))
+
+    def by_chunks(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of a slice's chunks, chunks before each row, and whether a row goes by its chunks."""
+        starts, first, digests = _contents(part)
+        if known_again is None:
+            return starts, first, first[1:] > first[:-1]
+        every = known_again.value
+        at = np.minimum(np.searchsorted(every, digests), max(0, len(every) - 1))
+        hit = np.concatenate([[0], np.cumsum(every[at] == digests if len(every) else np.zeros(len(digests), bool))])
+        return starts, first, hit[first[1:]] > hit[first[:-1]]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = bpe.encoder(vocabulary)
+        for batch in batches:
+            before = 0
+            for part in K.slices(K.strings(batch.column(1))):
+                rows = np.flatnonzero(~by_chunks(part)[2])
+                ids, offsets = encoder.encode(part.take(pa.array(rows)))
+                edges = (offsets * encoder.dtype.itemsize).tolist()
+                raw, at = ids.tobytes(), pa.array(before + rows)
+                null = batch.column(1).take(at).is_null().to_numpy(zero_copy_only=False)
+                sizes = np.concatenate([[0], np.cumsum(encoder.token_lengths[ids])])[offsets]
+                tokens = pa.array([None if none else raw[a:b] for none, a, b in zip(null, edges[:-1], edges[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.diff(offsets), mask=null), tokens, pa.array(np.diff(sizes), mask=null)], names=schema.names)
+                before += len(part)
+
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest as digest
 
         box, seen = _Outbox(partitions), set()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            null = batch.column(1).is_null().to_pylist()
             before = 0
             for part in K.slices(K.strings(batch.column(1))):
                 data, offsets = K.utf8(part)
                 raw, bounds = data.tobytes(), offsets.tolist()
-                starts = cuts(data, offsets)
-                first = np.searchsorted(starts, offsets).tolist()
-                edges = [*starts.tolist(), len(raw)]
-                for k in range(len(part)):
+                starts, first, chosen = by_chunks(part)
+                edges, first = [*starts.tolist(), len(raw)], first.tolist()
+                for k in np.flatnonzero(chosen).tolist():
                     row = before + k
-                    if null[row]:
-                        box.add(row % partitions, ("doc", None, ids[row], 0), 0)
-                        continue
                     key = digest(digest(raw[bounds[k] : bounds[k + 1]]) + repr(ids[row]).encode())
                     box.add(int.from_bytes(key[:8], "little") % partitions, ("doc", key, ids[row], first[k + 1] - first[k]), 32)
                     for place, c in enumerate(range(first[k], first[k + 1])):
@@ -224,8 +273,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = bpe.DEFAULT_V
                     known[of] = (raw[edges[k] : edges[k + 1]], a, b)
             for item in items:
                 if item[0] == "doc":
-                    where = int.from_bytes(item[1][:8], "little") if item[1] else 0
-                    box.add(where % partitions, item, 32)
+                    box.add(int.from_bytes(item[1][:8], "little") % partitions, item, 32)
                 elif item[0] in known:
                     pass_on(item[0], item[2], item[3])
                 else:
@@ -240,7 +288,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = bpe.DEFAULT_V
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.encoder(vocabulary)
-        docs_of: dict[bytes | None, list] = {}
+        docs_of: dict[bytes, list] = {}
         size: dict[bytes, int] = {}
         parts: dict[bytes, dict[int, Chunk]] = {}
         for items in _inbox(batches):
@@ -261,17 +309,13 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = bpe.DEFAULT_V
 
         waiting = 0
         for key, ids in docs_of.items():
-            if key is None:
-                tokens, n, length = None, None, None
-            else:
-                own = parts.pop(key, {})
-                whole = join(encoder, [own[k] for k in range(size[key])]) if size[key] else np.zeros(0, encoder.dtype)
-                tokens, n = whole.tobytes(), len(whole)
-                length = int(encoder.token_lengths[whole].sum())
+            own = parts.pop(key)
+            joined = join(encoder, [own[k] for k in range(size[key])])
+            tokens, length = joined.tobytes(), int(encoder.token_lengths[joined].sum())
             for one in ids:
-                for c, v in zip(rows, (one, n, tokens, length)):
+                for c, v in zip(rows, (one, len(joined), tokens, length)):
                     c.append(v)
-                waiting += len(tokens or b"")
+                waiting += len(tokens)
             if waiting > SENT_BYTES // 4:
                 yield batch()
                 waiting = 0
@@ -280,9 +324,9 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = bpe.DEFAULT_V
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(kind)
-    source = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     chunks = source.mapInArrow(chunk, packed).repartitionById(partitions, "target")
-    return chunks.mapInArrow(encode_once, packed).repartitionById(partitions, "target").mapInArrow(assemble, schema)
+    joined = chunks.mapInArrow(encode_once, packed).repartitionById(partitions, "target").mapInArrow(assemble, schema)
+    return source.mapInArrow(whole, schema).unionAll(joined)
 
 
 def decode(encoded: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY, id_column: str = "doc_id") -> DataFrame:
