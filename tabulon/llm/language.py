@@ -87,7 +87,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     kept = [c for c in keep or docs.columns if c not in {name for name, _ in added}]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(*x) for x in added])
     pickled = pickle.dumps(dictionaries)
-    source = docs.select(*[docs[c] for c in kept], docs[text_column].alias("__text"))
+    source = shared.numbered(docs.select(*[docs[c] for c in kept], docs[text_column]))[0]
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _classifier(pickled)
@@ -110,8 +110,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is clear, with the columns they came with."""
-    found = identify(docs, fit(docs))
-    return found.where("accepted").select(*docs.columns)
+    plain, names = shared.numbered(docs)
+    found = identify(plain, fit(docs), text_column=names["text"])
+    return found.where("accepted").select(*plain.columns).toDF(*docs.columns)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,12 +70,12 @@ def measure(column: pa.Array) -> np.ndarray:
     ]).astype(np.float64)
 
 
-def with_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def with_statistics(docs: DataFrame, keep: list[str] | None = None, text_column: str = "text") -> DataFrame:
     """Adds the columns of STATISTICS, in a struct ``__stats`` that replaces any column of this name."""
     kept = [c for c in keep or docs.columns if c != "__stats"]
     inner = T.StructType([T.StructField(name, T.DoubleType()) for name in STATISTICS])
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("__stats", inner)])
-    source = docs.select(*[docs[c] for c in kept], docs["text"].alias("__text"))
+    source = shared.numbered(docs.select(*[docs[c] for c in kept], docs[text_column]))[0]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,21 +211,23 @@ def matched(rules: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("int")
 
 
-def judge(docs: DataFrame, rules: list[Rule], keep: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule], keep: list[str] | None = None, text_column: str = "text") -> DataFrame:
     """Adds ``rule`` (number of the first rule that holds, else null) and ``accepted`` (none does).
 
     Every row gets both, null and empty texts by statistics of zero. Columns of ``docs`` with these
     names are replaced; ``keep`` limits the others.
     """
     kept = [c for c in keep or docs.columns if c not in ("rule", "accepted")]
-    out = with_statistics(docs, kept).withColumn("rule", matched(rules))
+    out = with_statistics(docs, kept, text_column).withColumn("rule", matched(rules))
     return out.select(*kept, "rule", F.col("rule").isNull().alias("accepted"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that no rule rejects, with the columns they came with."""
     rules = fit(docs, shared.load(spark, sf_dir, "labels"))
-    return judge(docs, rules).where("accepted").select(*docs.columns)
+    plain, names = shared.numbered(docs)
+    found = judge(plain, rules, text_column=names["text"])
+    return found.where("accepted").select(*plain.columns).toDF(*docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,11 +48,22 @@ class Workspace:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(at)
         return path
 
+    def close(self) -> None:
+        """Deletes all of it; what reads from it must be done."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def drop(self, name: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def numbered(frame: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with columns named by number, so that no name can clash, and the numbers by name."""
+    names = [f"column{k}" for k in range(len(frame.columns))]
+    return frame.toDF(*names), dict(zip(frame.columns, names))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -106,7 +106,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], bits:
     kept = [c for c in keep or docs.columns if c not in {name for name, _ in added}]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(*x) for x in added])
     at, value, bias = weights
-    source = docs.select(*[docs[c] for c in kept], docs["text"].alias("__text"))
+    source = shared.numbered(docs.select(*[docs[c] for c in kept], docs["text"]))[0]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.float32)
