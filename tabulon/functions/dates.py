@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -16,8 +17,22 @@ from tabulon.functions.text import java_date_format, strip
 GENERAL = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M.d.yyyy", "d.M.yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s")
 
 
+_SHAPES = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": r"\p{L}+", "MMM": r"\p{L}+\.?", "EEEE": r"\p{L}+", "EEE": r"\p{L}+", "a": r"\p{L}+", "DDD": r"\d{1,3}"}
+
+
+def shape(pattern: str) -> str:
+    """What values of a date pattern look like; parsing others only to fail would cost far more."""
+
+    def part(m: re.Match[str]) -> str:
+        if m[0][0] == "'":
+            return re.escape(m[0].strip("'")) if m[0] != "''" else "'"
+        return _SHAPES.get(m[0], r"\d{1,2}") if m[0][0].isalpha() else re.escape(m[0])
+
+    return "^" + re.sub(r"'[^']*'|([A-Za-z])\1*|[^A-Za-z']", part, pattern) + "$"
+
+
 def _try(value: Column, pattern: str) -> Column:
-    parsed = F.try_to_timestamp(value, F.lit(pattern)).cast("timestamp_ntz")
+    parsed = F.when(value.rlike(shape(pattern)), F.try_to_timestamp(value, F.lit(pattern)).cast("timestamp_ntz"))
     if "yy" in pattern and "yyyy" not in pattern:  # two digits from 69 on are of the last century
         parsed = F.when(F.year(parsed) >= 2069, parsed - F.make_ym_interval(F.lit(100))).otherwise(parsed)
     return parsed

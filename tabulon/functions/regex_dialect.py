@@ -113,6 +113,15 @@ def translate(source: str) -> Pattern:
     return Pattern(source, FLAGS + "".join(out), compiled.groups, tuple(sorted(compiled.groupindex.items(), key=lambda x: x[1])))
 
 
+#: Noncharacters that stand between cells while a match is taken apart; texts must not hold them.
+CELL, MATCHED = "\ufdd0", "\ufdd1"
+
+
+def whole_line(pattern: Pattern) -> str:
+    """A pattern that takes a whole text in which the first match of ``pattern`` lies; groups keep their numbers."""
+    return f"{FLAGS}^(?s:.)*?(?:{pattern.java.removeprefix(FLAGS)})(?s:.)*$"
+
+
 def portable(source: str) -> bool:
     try:
         translate(source)

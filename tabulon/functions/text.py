@@ -21,9 +21,12 @@ def strip_accents(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKD", t).translate(_MARKS))
 
 
+_WHITE = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(value: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.trim(value, F.lit(_WHITE))
 
 
 def replace_all(value: Column, pairs: Sequence[tuple[str, str]]) -> Column:

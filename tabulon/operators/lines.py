@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabulon.functions.binding import let
-from tabulon.functions.regex_dialect import FLAGS, translate
+from tabulon.functions.regex_dialect import CELL, FLAGS, MATCHED, translate, whole_line
 from tabulon.functions.text import replace_all, strip
 from tabulon.operators.fields import coerce
 from tabulon.sources.templates import LineRule, LinesField, Options
@@ -19,8 +19,8 @@ def blocks(text: Column, rule: LineRule) -> Column:
     start, end = translate(rule.start), translate(rule.end)
     s, e = start.java.removeprefix(FLAGS), end.java.removeprefix(FLAGS)
     if rule.end_match != "last":
-        return F.regexp_extract_all(text, F.lit(rf"{FLAGS}(?>{s})([\s\S]*?)(?:{e})"), F.lit(start.groups + 1))
-    rest = F.regexp_extract(text, rf"{FLAGS}^[\s\S]*?(?>{s})([\s\S]*)$", start.groups + 1)
+        return F.regexp_extract_all(text, F.lit(rf"{FLAGS}(?>{s})((?s:.)*?)(?:{e})"), F.lit(start.groups + 1))
+    rest = F.regexp_extract(text, rf"{FLAGS}^(?s:.)*?(?>{s})((?s:.)*)$", start.groups + 1)
     ends = F.regexp_extract_all(rest, F.lit(end.java), F.lit(0))
     tail = F.length(F.element_at(F.split(rest, end.java), -1)) + F.length(F.element_at(ends, -1))
     return F.when(text.rlike(start.java) & (F.size(ends) > 0), F.array(F.left(rest, F.length(rest) - tail))).otherwise(F.array().cast("array<string>"))
@@ -47,13 +47,18 @@ def _row(line: Column, patterns: Sequence[str], columns: Sequence[str], before:
     def of(pattern: str) -> Column:
         p = translate(pattern)
         own = dict(p.names)
+        groups = F.split(F.regexp_replace(line, whole_line(p), CELL.join(f"${n}" for n in own.values())), CELL)
+        return let(groups, lambda found: cells_of(own, found))
+
+    def cells_of(own: dict[str, int], found: Column) -> Column:
+        place = {c: k for k, c in enumerate(own)}
         cells = []
         for c in columns:
             old = before[c] if before is not None else F.lit(None).cast("string")
             if c not in own:
                 cells.append(old.alias(c))
                 continue
-            new = strip(F.regexp_extract(line, p.java, own[c]))
+            new = strip(found[place[c]])
             if before is not None:
                 kept = F.coalesce(old, F.lit(""))
                 new = F.concat(kept, F.when(kept != "", "\n").otherwise(""), new)
@@ -76,6 +81,12 @@ def rows(block: Column, rule: LineRule) -> Column:
     shape = "struct<" + ",".join(f"`{c}`:string" for c in columns) + ">"
     lines = F.filter(F.split(block, f"\\Q{rule.line_separator}\\E"), lambda l: (F.translate(l, "\r\n", "") != "") & ~_hit(l, rule.skip_line))
     if not rule.first_line and not rule.last_line:
+        if len(rule.line) == 1:  # one pass finds the lines that fit and takes them apart
+            p = translate(rule.line[0])
+            own = {c: k for k, (c, _) in enumerate(p.names)}
+            marked = F.transform(lines, lambda l: F.regexp_replace(l, whole_line(p), MATCHED + CELL.join(f"${n}" for _, n in p.names)))
+            found = F.transform(F.filter(marked, lambda m: m.startswith(MATCHED)), lambda m: F.split(F.substring(m, 2, 1 << 30), CELL))
+            return F.transform(found, lambda cells: F.struct(*[strip(cells[own[c]]).alias(c) for c in columns]).cast(shape))
         return F.transform(F.filter(lines, lambda l: _hit(l, rule.line)), lambda l: _row(l, rule.line, columns, None).cast(shape))
     if not rule.first_line:
         return F.array().cast(f"array<{shape}>")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabulon.functions.binding import let
-from tabulon.functions.regex_dialect import FLAGS, translate
+from tabulon.functions.regex_dialect import CELL, FLAGS, MATCHED, translate, whole_line
 from tabulon.functions.text import strip
 from tabulon.operators.fields import coerce, group
 from tabulon.sources.templates import Options, TableRule
@@ -18,8 +18,8 @@ def body(text: Column, rule: TableRule) -> Column:
     An end before the start leaves an empty body.
     """
     s, e = (translate(p).java.removeprefix(FLAGS) for p in (rule.start, rule.end))
-    through = F.length(F.regexp_extract(text, rf"{FLAGS}^[\s\S]*?(?>{s})", 0))
-    until = F.length(F.regexp_extract(text, rf"{FLAGS}^([\s\S]*?)(?>{e})", 1))
+    through = F.length(F.regexp_extract(text, rf"{FLAGS}^(?s:.)*?(?>{s})", 0))
+    until = F.length(F.regexp_extract(text, rf"{FLAGS}^((?s:.)*?)(?>{e})", 1))
     both = text.rlike(translate(rule.start).java) & text.rlike(translate(rule.end).java)
     return F.when(both, F.when(until > through, F.substring(text, through + 1, until - through)).otherwise(""))
 
@@ -32,18 +32,20 @@ def column_type(name: str, rule: TableRule) -> str | None:
     return "date" if name.startswith("date") or name.endswith("date") else "float" if name.startswith("amount") else None
 
 
-def _cell(java: str, number: int, kind: str | None, options: Options):
-    return lambda line: let(strip(F.regexp_extract(line, java, number)), lambda v: coerce(v, kind, options))
+def _cell(place: int, kind: str | None, options: Options):
+    return lambda row: let(strip(row[place]), lambda v: coerce(v, kind, options))
 
 
 def columns(text: Column, rule: TableRule, options: Options) -> dict[str, Column]:
     """Each named column's values in line order (array), or their group; null where no line fits."""
     p = translate(rule.body)
-    lines = F.filter(F.split(body(text, rule), f"\\Q{rule.line_separator}\\E"), lambda l: (strip(l) != "") & l.rlike(p.java))
+    lines = F.filter(F.split(body(text, rule), f"\\Q{rule.line_separator}\\E"), lambda l: strip(l) != "")
+    marked = F.transform(lines, lambda l: F.regexp_replace(l, whole_line(p), MATCHED + CELL.join(f"${n}" for _, n in p.names)))
+    rows = F.transform(F.filter(marked, lambda m: m.startswith(MATCHED)), lambda m: F.split(F.substring(m, 2, 1 << 30), CELL))
     grouped = dict(rule.groups)
     out = {}
-    for name, number in p.names:
+    for place, (name, _) in enumerate(p.names):
         kind = column_type(name, rule)
-        cells = F.transform(lines, _cell(p.java, number, kind, options))
+        cells = F.transform(rows, _cell(place, kind, options))
         out[name] = group(cells, grouped[name], kind) if name in grouped else let(cells, lambda c: F.when(F.size(c) > 0, c))
     return out
