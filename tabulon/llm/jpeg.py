@@ -24,31 +24,40 @@ class Broken(ValueError):
 
 
 @lru_cache(maxsize=256)
-def _codes(counts: bytes, symbols: bytes) -> list[int]:
-    """Length * 256 + symbol for every 16 bits that may follow; 0 where no code does."""
-    table = np.zeros(1 << 16, np.int64)
+def _codes(counts: bytes, symbols: bytes) -> tuple[list[int], dict[int, int]]:
+    """Length * 256 + symbol for every 8 bits that may follow (0 where no such code does), and of longer codes by length and code."""
+    short, long = [0] * 256, {}
     code, k = 0, 0
     for length in range(1, 17):
         for _ in range(counts[length - 1]):
-            low = code << (16 - length)
-            table[low : low + (1 << (16 - length))] = length << 8 | symbols[k]
+            entry = length << 8 | symbols[k]
+            if length <= 8:
+                low = code << (8 - length)
+                short[low : low + (1 << (8 - length))] = [entry] * (1 << (8 - length))
+            else:
+                long[length << 16 | code] = entry
             code, k = code + 1, k + 1
         code <<= 1
-    return table.tolist()
+    if len(short) > 256:
+        raise Broken("codes that overlap")
+    return short, long
 
 
 class _Bits:
     def __init__(self, data: bytes) -> None:
         self.data, self.at, self.end = data + b"\0\0\0\0", 0, 8 * len(data)
 
-    def code(self, table: list[int]) -> int:
+    def code(self, table: tuple[list[int], dict[int, int]]) -> int:
         at = self.at
         d, i = self.data, at >> 3
         if at >= self.end:
             raise Broken("the scan ends early")
-        entry = table[((d[i] << 16 | d[i + 1] << 8 | d[i + 2]) >> (8 - (at & 7))) & 0xFFFF]
+        next16 = ((d[i] << 16 | d[i + 1] << 8 | d[i + 2]) >> (8 - (at & 7))) & 0xFFFF
+        entry = table[0][next16 >> 8]
         if not entry:
-            raise Broken("no such code")
+            entry = next((e for n in range(9, 17) if (e := table[1].get(n << 16 | next16 >> (16 - n)))), 0)
+            if not entry:
+                raise Broken("no such code")
         self.at = at + (entry >> 8)
         return entry & 255
 
@@ -79,7 +88,7 @@ class _Component:
         self.coefficients = [0] * (64 * self.across * self.down)
 
 
-def _first_ac(bits: _Bits, c: list[int], at: int, codes: list[int], low: int, first: int, last: int, run: int) -> int:
+def _first_ac(bits: _Bits, c: list[int], at: int, codes: tuple, low: int, first: int, last: int, run: int) -> int:
     if run:
         return run - 1
     k = first
@@ -99,7 +108,7 @@ def _first_ac(bits: _Bits, c: list[int], at: int, codes: list[int], low: int, fi
     return 0
 
 
-def _refine_ac(bits: _Bits, c: list[int], at: int, codes: list[int], low: int, first: int, last: int, run: int) -> int:
+def _refine_ac(bits: _Bits, c: list[int], at: int, codes: tuple, low: int, first: int, last: int, run: int) -> int:
     one = 1 << low
     k = first
     if not run:
@@ -135,7 +144,7 @@ def _refine_ac(bits: _Bits, c: list[int], at: int, codes: list[int], low: int, f
     return run
 
 
-def _scan(data: bytes, parts: list[tuple[_Component, list[int] | None, list[int] | None]], first: int, last: int, high: int, low: int, restart: int, units: tuple[int, int], sequential: bool) -> None:
+def _scan(data: bytes, parts: list[tuple[_Component, tuple | None, tuple | None]], first: int, last: int, high: int, low: int, restart: int, units: tuple[int, int], sequential: bool) -> None:
     """Adds one scan's bits to the coefficients. ``data``: entropy-coded bytes with their markers."""
     segments, begin, i = [], 0, 0
     while (i := data.find(b"\xff", i)) >= 0 and i + 1 < len(data):
@@ -187,7 +196,7 @@ def _decode(data: bytes) -> np.ndarray:
     if data[:2] != b"\xff\xd8":
         raise Broken("no start of image")
     tables: dict[int, np.ndarray] = {}
-    codes: dict[tuple[int, int], list[int]] = {}
+    codes: dict[tuple[int, int], tuple] = {}
     parts: dict[int, _Component] = {}
     width = height = restart = 0
     adobe, sequential, at, scans = None, False, 2, 0
