@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tabulon.functions.binding import computed, let
 from tabulon.functions.text import prepare
@@ -66,10 +68,24 @@ def _literal(value) -> Column:
     return F.lit(value)
 
 
-def compile_template(template: Template, text: Column) -> Compiled:
-    """Native expressions for every field of a template; constants stay literals, so that patterns are compiled once."""
+def _ready(template: Template, text: Column) -> Column:
     options = template.options
-    ready = prepare(text, options.remove_whitespace, options.remove_accents, options.lowercase, options.replace)
+    return prepare(text, options.remove_whitespace, options.remove_accents, options.lowercase, options.replace)
+
+
+def _staged(frame: DataFrame, template: Template, text: Column, name: str) -> DataFrame:
+    """Adds what Python has to make of a text before expressions can go on: the prepared text, or the whole record."""
+    made = _python_json(template, text) if not template.native else _ready(template, F.when(matching.matches(text, template), text))
+    return computed(frame.withColumn(name + "_", made), F.col(name + "_"), name).drop(name + "_")
+
+
+def compile_template(template: Template, text: Column, prepared: bool = False) -> Compiled:
+    """Native expressions for every field of a template; constants stay literals, so that patterns are compiled once.
+
+    ``prepared`` says that the text has gone through the template's preparation.
+    """
+    options = template.options
+    ready = text if prepared else _ready(template, text)
     out: dict[str, Column] = {"issuer": F.lit(template.issuer), "template_name": F.lit(template.name)}
     searched: set[str] = set()
     several: set[str] = set()
@@ -113,8 +129,12 @@ def extract_wide(docs: DataFrame, template: Template, text_column: str = "text")
     missing or strict_fields; ``missing`` lists required fields that are not there.
     """
     text = F.col(text_column)
-    compiled = compile_template(template, text)
-    found = computed(docs.where(matching.matches(text, template)), compiled.struct(), "__found")
+    matched = docs.where(matching.matches(text, template))
+    staged = template.options.remove_accents
+    if staged:
+        matched = _staged(matched, template, text, "__ready")
+    compiled = compile_template(template, F.col("__ready") if staged else text, staged)
+    found = computed(matched, compiled.struct(), "__found")
     made, broken = compiled.finish(F.col("__found"))
     columns: dict[str, Column] = {}
     for name, value in made.items():
@@ -131,11 +151,14 @@ def extract_wide(docs: DataFrame, template: Template, text_column: str = "text")
     return found.select(*ids, *[v.alias(n) for n, v in columns.items()], lacking.alias("missing"), error.alias("error"))
 
 
-def record(template: Template, text: Column) -> Column:
-    """struct(template_name, record VARIANT, names, missing, unknown, error, lineless, warnings) of one template over a text."""
+def record(template: Template, text: Column, staged: Column | None = None) -> Column:
+    """struct(template_name, record VARIANT, names, missing, unknown, error, lineless, warnings) of one template over a text.
+
+    ``staged`` is what :func:`_staged` added for a template that needs it.
+    """
     if not template.native:
-        return _python_record(template, text)
-    c = compile_template(template, text)
+        return _python_record(template, staged)
+    c = compile_template(template, text if staged is None else staged, staged is not None)
     return let(c.struct(), lambda s: _record_of(c, s))
 
 
@@ -186,8 +209,8 @@ def _finished(template: Template, made: Column, names: Column, broken: Column, l
     return let(F.struct(validate.missing(names, template.required).alias("lacking"), validate.unknown_present(names, template, every).alias("odd")), done)
 
 
-def _python_record(template: Template, text: Column) -> Column:
-    @F.pandas_udf("string")
+def _python_json(template: Template, text: Column) -> Column:
+    @F.pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:
         from tabulon.operators.python_dialect import as_json, extract
 
@@ -200,10 +223,13 @@ def _python_record(template: Template, text: Column) -> Column:
         return texts.map(one)
 
     # Only this template's documents are run; the others reach the function as null.
-    json = run(F.when(matching.matches(text, template), text))
+    return run(F.when(matching.matches(text, template), text))
+
+
+def _python_record(template: Template, json: Column) -> Column:
     made = F.try_parse_json(json)
     names = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
-    every = [*[f.name for f in template.fields], *[n for t in template.tables for n, _ in __import__("re").compile(t.body).groupindex.items()]]
+    every = [*[f.name for f in template.fields], *[n for t in template.tables for n in re.compile(t.body).groupindex]]
     lined = F.lit(False)
     for f in template.fields:
         if isinstance(f, LinesField):
@@ -222,7 +248,10 @@ def extract(docs: DataFrame, templates: Sequence[Template], text_column: str = "
     matched = matching.match(docs, order, text_column)
     chosen = None
     for k, t in enumerate(order):
-        one = record(t, F.col(text_column))
+        needs = not t.native or t.options.remove_accents
+        if needs:
+            matched = _staged(matched, t, F.col(text_column), f"__staged{k}")
+        one = record(t, F.col(text_column), F.col(f"__staged{k}") if needs else None)
         chosen = F.when(F.col("template_index") == k, one) if chosen is None else chosen.when(F.col("template_index") == k, one)
     if chosen is None:
         raise ValueError("no templates")
