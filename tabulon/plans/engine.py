@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -13,8 +13,8 @@ from pyspark.sql.types import StringType
 
 from tabulon.functions.binding import computed, let
 from tabulon.functions.text import prepare
-from tabulon.operators import enrich, fields, lines, matching, tables, validate
-from tabulon.sources.templates import LinesField, RegexField, StaticField, Template, by_priority
+from tabulon.operators import enrich, fields, lines, matching, tables, validate, wordboxes
+from tabulon.sources.templates import PARSERS, CustomField, LinesField, RegexField, StaticField, Template, by_priority, read_templates
 
 
 @dataclass
@@ -79,10 +79,11 @@ def _staged(frame: DataFrame, template: Template, text: Column, name: str) -> Da
     return computed(frame.withColumn(name + "_", made), F.col(name + "_"), name).drop(name + "_")
 
 
-def compile_template(template: Template, text: Column, prepared: bool = False) -> Compiled:
+def compile_template(template: Template, text: Column, prepared: bool = False, boxes: Column | None = None) -> Compiled:
     """Native expressions for every field of a template; constants stay literals, so that patterns are compiled once.
 
-    ``prepared`` says that the text has gone through the template's preparation.
+    ``prepared`` says that the text has gone through the template's preparation. A field with an area
+    sees what the word ``boxes`` show there, unprepared; without boxes it sees the text.
     """
     options = template.options
     ready = text if prepared else _ready(template, text)
@@ -91,13 +92,17 @@ def compile_template(template: Template, text: Column, prepared: bool = False) -
     several: set[str] = set()
     line_columns: dict[str, list[str]] = {}
     for spec in template.fields:
+        area = getattr(spec, "area", None)
+        source = ready if boxes is None or not area else wordboxes.crop(boxes, dict(area))
         if isinstance(spec, StaticField):
             out[spec.name] = _literal(spec.value)
+        elif isinstance(spec, CustomField):
+            out[spec.name] = PARSERS[spec.parser](source, dict(spec.settings), options)
         elif isinstance(spec, LinesField):
-            out[spec.name] = lines.line_items(ready, spec, options)
+            out[spec.name] = lines.line_items(source, spec, options)
             line_columns[spec.name] = list(dict.fromkeys(c for r in spec.rules for c in lines.names(r)))
         elif isinstance(spec, RegexField):
-            out[spec.name] = fields.field_pair(ready, spec, options)
+            out[spec.name] = fields.field_pair(source, spec, options)
             searched.add(spec.name)
             if not spec.group:
                 several.add(spec.name)
@@ -133,7 +138,8 @@ def extract_wide(docs: DataFrame, template: Template, text_column: str = "text")
     staged = template.options.remove_accents
     if staged:
         matched = _staged(matched, template, text, "__ready")
-    compiled = compile_template(template, F.col("__ready") if staged else text, staged)
+    boxes = F.col("boxes") if "boxes" in docs.columns else None
+    compiled = compile_template(template, F.col("__ready") if staged else text, staged, boxes)
     found = computed(matched, compiled.struct(), "__found")
     made, broken = compiled.finish(F.col("__found"))
     columns: dict[str, Column] = {}
@@ -143,7 +149,7 @@ def extract_wide(docs: DataFrame, template: Template, text_column: str = "text")
             columns[f"{name}_all"] = value
         else:
             columns[name] = value
-    ids = [c for c in docs.columns if c != text_column and c not in columns]
+    ids = [c for c in docs.columns if c not in (text_column, "boxes") and c not in columns]
     have = F.array_compact(F.array(*[F.when(v.isNotNull(), F.lit(n)) for n, v in made.items()]))
     odd = F.size(validate.unknown_present(have, template, list(made))) > 0
     lacking = validate.missing(have, template.required)
@@ -151,14 +157,14 @@ def extract_wide(docs: DataFrame, template: Template, text_column: str = "text")
     return found.select(*ids, *[v.alias(n) for n, v in columns.items()], lacking.alias("missing"), error.alias("error"))
 
 
-def record(template: Template, text: Column, staged: Column | None = None) -> Column:
+def record(template: Template, text: Column, staged: Column | None = None, boxes: Column | None = None) -> Column:
     """struct(template_name, record VARIANT, names, missing, unknown, error, lineless, warnings) of one template over a text.
 
     ``staged`` is what :func:`_staged` added for a template that needs it.
     """
     if not template.native:
         return _python_record(template, staged)
-    c = compile_template(template, text if staged is None else staged, staged is not None)
+    c = compile_template(template, text if staged is None else staged, staged is not None, boxes)
     return let(c.struct(), lambda s: _record_of(c, s))
 
 
@@ -251,10 +257,35 @@ def extract(docs: DataFrame, templates: Sequence[Template], text_column: str = "
         needs = not t.native or t.options.remove_accents
         if needs:
             matched = _staged(matched, t, F.col(text_column), f"__staged{k}")
-        one = record(t, F.col(text_column), F.col(f"__staged{k}") if needs else None)
+        one = record(t, F.col(text_column), F.col(f"__staged{k}") if needs else None, F.col("boxes") if "boxes" in docs.columns else None)
         chosen = F.when(F.col("template_index") == k, one) if chosen is None else chosen.when(F.col("template_index") == k, one)
     if chosen is None:
         raise ValueError("no templates")
     out = computed(matched, chosen, "__found").select(*docs.columns, "__found.*")
     error = F.when(F.col("template_name").isNull(), "no_template").otherwise(F.col("error"))
-    return out.withColumn("error", error).withColumn("record", F.when(F.col("error").isNull(), F.col("record")))
+    out = out.withColumn("error", error).withColumn("record", F.when(F.col("error").isNull(), F.col("record")))
+    for plugin in PLUGINS.values():
+        out = plugin(out)
+    return out
+
+
+#: Steps after extraction: function(result frame) giving a frame with the same columns at least.
+PLUGINS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_plugin(name: str, plugin: Callable[[DataFrame], DataFrame]) -> None:
+    PLUGINS[name] = plugin
+
+
+class Extractor:
+    """A set of templates to extract with."""
+
+    def __init__(self, templates: Sequence[Template] = ()) -> None:
+        self.templates = list(templates)
+
+    def read_templates(self, folder: str) -> None:
+        """Adds a folder's templates; those that were there come first among equal priorities."""
+        self.templates += read_templates(folder)
+
+    def extract(self, docs: DataFrame, text_column: str = "text") -> DataFrame:
+        return extract(docs, self.templates, text_column)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
@@ -50,6 +50,22 @@ class RegexField:
     legacy: bool = False
 
 
+#: Parsers besides regex, static and lines: function(text column, settings, options) giving a column.
+PARSERS: dict[str, Callable] = {}
+
+
+def register_parser(name: str, parser: Callable) -> None:
+    """Lets templates name a parser of one's own; its column is the field's value, null where absent."""
+    PARSERS[name] = parser
+
+
+@dataclass(frozen=True)
+class CustomField:
+    name: str
+    parser: str
+    settings: tuple[tuple[str, Any], ...]
+
+
 @dataclass(frozen=True)
 class StaticField:
     name: str
@@ -203,6 +219,8 @@ def _field(name: str, spec: Any) -> RegexField | StaticField | LinesField | None
             if group is not None and group not in GROUPS:
                 raise TemplateError(f"{name}: unknown group {group}")
             return RegexField(name, tuple(map(_check, _strings(spec["regex"]))), kind, group, _pairs(spec.get("replace"), name), bool(spec.get("extract_number")), _area(spec.get("area")))
+        if parser in PARSERS:
+            return CustomField(name, parser, tuple(spec.items()))
         if parser is None:
             logger.warning("%s: a field without parser is passed over", name)
             return None
