@@ -14,18 +14,49 @@ from tabulon.llm import kernels as K
 from tabulon.llm import shared
 from tabulon.llm.components import components
 
+#: Bits that the tables cover, and as many more of another hash that candidates are checked by.
 BITS = 128
 #: Parts that a signature is cut into, and the distance that a part's masks cover.
 PARTS, PART_RADIUS = 4, 4
 #: Two signatures this close are near-duplicates: pigeonholes leave one part within PART_RADIUS.
 RADIUS = PARTS * (PART_RADIUS + 1) - 1
-
-_WORDS_AT_ONCE = 1 << 15
-_SALT = np.uint64(0x2545F4914F6CDD1D)
+#: And over both halves they must be this close: short texts with the same few common words then stay apart.
+BOTH_RADIUS = 40
+
+_WORDS_AT_ONCE = 1 << 14
+#: Columns of a signature: the covered words, then the others.
+_NAMES = ("low", "high", "check0", "check1")
+_SALTS = np.array([0, 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little") * 2.0 - 1.0).astype(np.float64)
+
+
+def _sums(h: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Weights for less those against each bit, by row; ``row`` ascends. Sums of whole numbers, so both ways agree."""
+    words = len(_SALTS)
+    every = [h if not salt else K.mix(h + salt) for salt in _SALTS]
+    sums = np.zeros((n, 64 * words), np.int64)
+    if len(h) >= 128 * n:  # many words a row: weights by value of each byte, then one product
+        for k, one in enumerate(every):
+            for byte in range(8):
+                value = (one >> np.uint64(8 * byte) & np.uint64(255)).astype(np.int64)
+                by_value = np.bincount(row * 256 + value, weight, 256 * n).reshape(n, 256)
+                at = 64 * k + 8 * byte
+                sums[:, at : at + 8] = np.rint(by_value @ _SIGNS)
+        return sums
+    for a in range(0, len(h), _WORDS_AT_ONCE):
+        part = slice(a, a + _WORDS_AT_ONCE)
+        both = np.stack([one[part] for one in every], axis=1)
+        bits = np.unpackbits(both.view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little").astype(np.int32)
+        bits *= 2
+        bits -= 1
+        bits *= weight[part, None]
+        first = np.flatnonzero(np.diff(row[part], prepend=-1))
+        sums[row[part][first]] += np.add.reduceat(bits, first, axis=0)
+    return sums
 
 
 def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit SimHash of each row (n x 2 words), and whether the row has a word.
+    """256-bit SimHash of each row (n x 4 words, the covered two first), and whether the row has a word.
 
     A distinct word weighs the root of its count, in 16ths and rounded, so sums are exact and equal
     bags of words have equal signatures. A bit is set where the weights for it exceed those against.
@@ -40,17 +71,7 @@ def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(np.append(at, len(h)))
     h, row = h[at], row[at]
     weight = np.rint(16 * np.sqrt(count)).astype(np.int32)
-    sums = np.zeros((n, BITS), np.int64)
-    for a in range(0, len(h), _WORDS_AT_ONCE):
-        part = slice(a, a + _WORDS_AT_ONCE)
-        both = np.stack([h[part], K.mix(h[part] + _SALT)], axis=1)
-        bits = np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").astype(np.int32)
-        bits *= 2
-        bits -= 1
-        bits *= weight[part, None]
-        first = np.flatnonzero(np.diff(row[part], prepend=-1))
-        sums[row[part][first]] += np.add.reduceat(bits, first, axis=0)
-    packed = np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64) if n else np.zeros((0, 2), np.uint64)
+    packed = np.packbits(_sums(h, row, weight, n) > 0, axis=1, bitorder="little").view(np.uint64) if n else np.zeros((0, len(_SALTS)), np.uint64)
     return packed, np.bincount(row, minlength=n) > 0
 
 
@@ -79,8 +100,8 @@ def buckets(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1).astype(np.int64)
 
 
-def forest(bucket: np.ndarray, high: np.ndarray, low: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, in each bucket, whatever its pairs within ``radius`` connect.
+def forest(bucket: np.ndarray, words: list[np.ndarray], radius: int = RADIUS, both_radius: int = BOTH_RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect, in each bucket, whatever its pairs connect that are within ``radius`` and, over all words, ``both_radius``.
 
     All pairs of a bucket are compared. Rows must be sorted by bucket.
     """
@@ -94,8 +115,11 @@ def forest(bucket: np.ndarray, high: np.ndarray, low: np.ndarray, radius: int =
         if not len(i):
             break
         j = i + step
-        near = np.bitwise_count(high[i] ^ high[j]) + np.bitwise_count(low[i] ^ low[j]) <= radius
+        covered = np.bitwise_count(words[0][i] ^ words[0][j]) + np.bitwise_count(words[1][i] ^ words[1][j])
+        near = np.flatnonzero(covered <= radius)
         x, y = i[near], j[near]
+        rest = sum((np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words[2:]), covered[near].astype(np.int64))
+        x, y = x[rest <= both_radius], y[rest <= both_radius]
         apart = root[x] != root[y]
         merged = False
         for p, q in zip(x[apart].tolist(), y[apart].tolist()):
@@ -118,17 +142,17 @@ def forest(bucket: np.ndarray, high: np.ndarray, low: np.ndarray, radius: int =
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", work: shared.Workspace | None = None) -> DataFrame:
-    """Groups of documents whose signatures are linked by distances of at most RADIUS bits.
+    """Groups of documents whose signatures are linked by distances of at most RADIUS and BOTH_RADIUS bits.
 
     Result, one row per input row: the id column, ``digest`` (xxhash64 of the text), ``keeper`` (id of
     the group's first document by id, null ids last), ``group_size`` and ``kept`` (this row is that
     document; of repeated rows one is). A text without words (null, empty, signs only) is alone in
-    its group. Other columns are ignored. Every pair within RADIUS is found: some table puts both in
-    one bucket, and buckets are compared in full.
+    its group. Other columns are ignored. Every pair within RADIUS is found, as some table puts both in
+    one bucket and buckets are compared in full; it is linked if the whole 256 bits agree.
     """
     work = work or shared.Workspace(spark, "simhash")
     kind = docs.schema[id_column].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("digest", T.LongType()), T.StructField("row", T.LongType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("worded", T.BooleanType())])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("digest", T.LongType()), T.StructField("row", T.LongType()), *[T.StructField(c, T.LongType()) for c in _NAMES], T.StructField("worded", T.BooleanType())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -138,35 +162,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_column: str = "doc_
             parts = [signatures(part) for part in K.slices(K.strings(batch.column(2)))]
             word = np.concatenate([w for w, _ in parts]).astype(np.int64)
             n = len(word)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(row + np.arange(n)), pa.array(word[:, 1]), pa.array(word[:, 0]), pa.array(np.concatenate([w for _, w in parts]))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(row + np.arange(n)), *[pa.array(np.ascontiguousarray(word[:, k])) for k in range(len(_NAMES))], pa.array(np.concatenate([w for _, w in parts]))], names=schema.names)
             row += n
 
     source = docs.select(docs[id_column].alias("id"), F.xxhash64(docs[text_column]).alias("digest"), docs[text_column].alias("text"))
     signed = work.table(source.mapInArrow(sign, schema), "signatures")
-    distinct = signed.where("worded").groupBy("high", "low").agg(F.min("row").alias("node"))
+    distinct = signed.where("worded").groupBy(*_NAMES).agg(F.min("row").alias("node"))
     nodes = work.table(distinct, "nodes")
-    spread = T.StructType([T.StructField(c, T.LongType()) for c in ("bucket", "high", "low", "node")])
+    spread = T.StructType([T.StructField(c, T.LongType()) for c in ("bucket", *_NAMES, "node")])
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            high, low, node = (batch.column(c).to_numpy() for c in ("high", "low", "node"))
-            table = buckets(high.view(np.uint64), low.view(np.uint64))
+            table = buckets(batch.column("high").to_numpy().view(np.uint64), batch.column("low").to_numpy().view(np.uint64))
             for k in range(table.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, k])), batch.column("high"), batch.column("low"), batch.column("node")], names=spread.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, k])), *[batch.column(c) for c in (*_NAMES, "node")]], names=spread.names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = pa.Table.from_batches(batches, pa.schema([(c, pa.int64()) for c in spread.names]))
-        columns = [every[c].to_numpy() for c in spread.names]
-        order = np.argsort(columns[0], kind="stable")
-        bucket, high, low, node = (c[order] for c in columns)
-        a, b = forest(bucket, high.view(np.uint64), low.view(np.uint64))
+        order = np.argsort(every["bucket"].to_numpy(), kind="stable")
+        node = every["node"].to_numpy()[order]
+        a, b = forest(every["bucket"].to_numpy()[order], [every[c].to_numpy()[order].view(np.uint64) for c in _NAMES])
         yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["u", "v"])
 
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * PARTS * len(masks()) // 1_000_000))
     edges = nodes.mapInArrow(scatter, spread).repartition(partitions, "bucket").mapInArrow(compare, "u bigint, v bigint")
     roots = components(edges, work)
-    rooted = nodes.join(roots, nodes["node"] == roots["u"], "left").select("high", "low", F.coalesce("v", "node").alias("group"))
-    grouped = signed.join(rooted, ["high", "low"], "left").withColumn("group", F.when(F.col("worded"), F.col("group")).otherwise(F.col("row")))
+    rooted = nodes.join(roots, nodes["node"] == roots["u"], "left").select(*_NAMES, F.coalesce("v", "node").alias("group"))
+    grouped = signed.join(rooted, list(_NAMES), "left").withColumn("group", F.when(F.col("worded"), F.col("group")).otherwise(F.col("row")))
     every = Window.partitionBy("group")
     first = every.orderBy(F.col("id").asc_nulls_last(), "row")
     return grouped.select(F.col("id").alias(id_column), "digest", F.first("id").over(first).alias("keeper"), F.count(F.lit(1)).over(every).alias("group_size"), (F.row_number().over(first) == 1).alias("kept"))

@@ -43,14 +43,25 @@ def test_signatures_by_brute_force(awkward):
         assert worded[k] == bool(counts)
         if len(counts) > 3000:
             continue
-        sums = [0] * 128
+        sums = [0] * 256
         for h, n in counts.items():
             w = int(np.rint(16 * np.sqrt(n)))
-            bits = h | int(K.mix(np.array([(h + int(simhash._SALT)) % 2**64], np.uint64))[0]) << 64
-            for b in range(128):
+            bits = h
+            for place, salt in enumerate(simhash._SALTS[1:].tolist(), 1):
+                bits |= int(K.mix(np.array([(h + salt) % 2**64], np.uint64))[0]) << 64 * place
+            for b in range(256):
                 sums[b] += w if bits >> b & 1 else -w
-        want = sum(1 << b for b in range(128) if sums[b] > 0)
-        assert int(got[k, 0]) | int(got[k, 1]) << 64 == want
+        want = sum(1 << b for b in range(256) if sums[b] > 0)
+        assert sum(int(got[k, w]) << 64 * w for w in range(4)) == want
+
+
+def test_both_ways_of_summing_agree():
+    rng = np.random.default_rng(6)
+    row = np.sort(rng.integers(0, 3, 2000))
+    h, weight = rng.integers(0, 1 << 63, 2000, dtype=np.uint64), rng.integers(16, 200, 2000).astype(np.int32)
+    many = simhash._sums(h, row, weight, 3)
+    few = [simhash._sums(h[row == k][a : a + 100], np.zeros(len(h[row == k][a : a + 100]), np.int64), weight[row == k][a : a + 100], 1) for k in range(3) for a in range(0, 2000, 100) if (row == k).sum() > a]
+    assert (many.sum(axis=0) == np.concatenate(few).sum(axis=0)).all()
 
 
 def _groups_by_brute_force(frame):
@@ -66,7 +77,8 @@ def _groups_by_brute_force(frame):
         return x
 
     for i, j in itertools.combinations(range(len(rows)), 2):
-        if worded[i] and worded[j] and int(np.bitwise_count(sigs[i] ^ sigs[j]).sum()) <= simhash.RADIUS:
+        apart = np.bitwise_count(sigs[i] ^ sigs[j])
+        if worded[i] and worded[j] and int(apart[:2].sum()) <= simhash.RADIUS and int(apart.sum()) <= simhash.BOTH_RADIUS:
             root[max(find(i), find(j))] = min(find(i), find(j))
     groups = defaultdict(list)
     for k, r in enumerate(rows):
@@ -109,10 +121,10 @@ def test_forest_compares_whole_buckets():
     high[1::2] = high[::2] ^ np.uint64(0b1011)
     low = np.zeros(400, np.uint64)
     bucket = np.repeat([1, 2], 200)
-    a, b = simhash.forest(bucket, high, low, radius=3)
+    a, b = simhash.forest(bucket, [low, high, low, low], radius=3)
     assert {(int(x), int(y)) for x, y in zip(a, b)} == {(k, k + 1) for k in range(0, 400, 2)}
     same = np.zeros(300, np.uint64)
-    a, b = simhash.forest(np.zeros(300, np.int64), same, same)
+    a, b = simhash.forest(np.zeros(300, np.int64), [same] * 4)
     assert len(a) == 299
 
 
