@@ -24,8 +24,8 @@ def _shape(shape: str) -> str:
 
 
 VAT = "^(?:" + "|".join(map(_shape, VAT_SHAPES.replace("ATU", "AT\0").split())).replace("\0", "U") + r")\z"
-IBAN = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\z"
-BIC = r"^[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\z"
+IBAN = r"^[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}\z"
+BIC = r"^[A-Z]{6}[0-9A-Z]{2}(?:[0-9A-Z]{3})?\z"
 
 
 def normalize(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PLAIN = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
-_FIRST = r"(?U)[-+]?\d+(?:[.,\s']\d+)*"
+_FIRST = r"(?U)[+-]?\d+(?:[\s',.]\d+)*"
 
 
 def to_double(value: Column) -> Column:

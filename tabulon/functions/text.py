@@ -61,7 +61,7 @@ def slug(value: Column, fallback: str = "template") -> Column:
 
 def safe_file_part(value: Column) -> Column:
     """Without the signs that file systems refuse."""
-    return F.regexp_replace(value, r'[<>:"/\\|?*\x00-\x1f]', "_")
+    return F.regexp_replace(value, r'[\x00-\x1f"*/:<>?\\|]', "_")
 
 
 _STRFTIME = {"d": "dd", "m": "MM", "Y": "yyyy", "y": "yy", "B": "MMMM", "b": "MMM", "H": "HH", "M": "mm", "S": "ss", "I": "hh", "p": "a", "j": "DDD", "A": "EEEE", "a": "EEE"}

@@ -16,7 +16,7 @@ VALUES = {"date": r"(\S+(?: \S+){0,2}?)", "amount": r"([\d.,]+)"}
 
 
 def slug(value: str, fallback: str = "template") -> str:
-    return re.sub("[^a-z0-9]+", "-", value.lower()).strip("-") or fallback
+    return "-".join(re.findall("[0-9a-z]+", value.lower())) or fallback
 
 
 def anchor(text: str, start: int, longest: int = 30) -> str:
@@ -98,9 +98,8 @@ def table_rules(detected: Mapping[str, Any], shared: Mapping[str, Any] | None =
     for page, rules in detected.items():
         for rule in rules if isinstance(rules, list) else [rules]:
             block = {"pages": str(page), **rule, **(shared or {})}
-            if block.get("flavor") == "lattice":
-                block.pop("columns", None)
-            out.append(block)
+            ruled = block.get("flavor") == "lattice"
+            out.append({k: v for k, v in block.items() if not (ruled and k == "columns")})
     return out
 
 

@@ -12,7 +12,7 @@ from tabulon.functions.numbers import round_cents
 from tabulon.functions.text import strip
 
 #: Other name to canonical name; the canonical one wins where a row has both.
-ALIASES = {"description": "name", "unit_price": "price_unit", "unitprice": "price_unit", "vat_rate": "line_tax_percent", "tax_percent": "line_tax_percent"}
+ALIASES = {other: canonical for canonical, others in {"name": "description", "price_unit": "unit_price unitprice", "line_tax_percent": "vat_rate tax_percent"}.items() for other in others.split()}
 
 _UNITS = {
     "LTR": "l lt ltr liter liters litre litres ℓ", "MLT": "ml milliliter millilitre", "KGM": "kg kgm kgs kilogram kilograms",

@@ -15,7 +15,7 @@ from tabulon.operators.tables import column_type
 from tabulon.sources.templates import LineRule, LinesField, Options, RegexField, StaticField, TableRule, Template
 
 _MARKED = re.compile(r"[,.'\\s]")
-_NUMBER = re.compile(r"[-+]?\d+(?:[.,\s']\d+)*")
+_NUMBER = re.compile(r"[+-]?\d+(?:[\s',.]\d+)*")
 
 
 @lru_cache(maxsize=4096)

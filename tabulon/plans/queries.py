@@ -45,7 +45,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-# End to end ---------------------------------------------------------------------------------
+# End to end
 
 
 @query("""
@@ -75,7 +75,7 @@ def extract_records(spark, sf_dir):
     return found.select("doc_id", F.lit("Tabulon Trading").alias("issuer"), F.try_variant_get("record", "$.amount", "double").alias("amount"), n.alias("n_lines"), "template_name")
 
 
-# Matching -----------------------------------------------------------------------------------
+# Matching
 
 KEYWORD_TEMPLATES = (
     {"template_name": "license", "keywords": ["icens", "ersion"], "exclude_keywords": ["GNU"], "priority": 7},
@@ -119,7 +119,7 @@ def match_automaton(spark, sf_dir):
     return matching._automaton_match(docs(spark, sf_dir), every, "text").select("doc_id", F.try_element_at(names, F.col("template_index") + 1).alias("template_name"))
 
 
-# Text preparation ---------------------------------------------------------------------------
+# Text preparation
 
 
 @query("SELECT doc_id, md5(replace(text, ' ', '')) AS prepared FROM documents")
@@ -150,7 +150,7 @@ def reader_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(some).cast("bigint").alias("n_lines"), F.md5(cleaned).alias("cleaned"))
 
 
-# Fields -------------------------------------------------------------------------------------
+# Fields
 
 
 def _prices(group: str | None, spark, sf_dir, kind: str = "float"):
@@ -242,7 +242,7 @@ def currency_default(spark, sf_dir):
     return found.select("doc_id", F.coalesce("currency", F.element_at("currency_all", 1)).alias("currency"))
 
 
-# Lines --------------------------------------------------------------------------------------
+# Lines
 
 
 def _exploded(frame: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def lineless(spark, sf_dir):
     return extract(invoices(spark, sf_dir, "plain"), [made]).where("lineless").select("doc_id")
 
 
-# Tables -------------------------------------------------------------------------------------
+# Tables
 
 
 @query(f"WITH {ITEMS} SELECT l_orderkey AS doc_id, pos, l_partkey AS part, strftime(l_shipdate, '%Y-%m-%d') AS shipped, l_extendedprice AS amount_line FROM items")
@@ -312,7 +312,7 @@ def tables_group(spark, sf_dir):
     return found.select("doc_id", F.round("amount_line", 2).alias("amount_line"), F.date_format("date_shipped", "yyyy-MM-dd").alias("first_shipped"), F.size("part_all").cast("bigint").alias("n_parts"))
 
 
-# Enrichment ---------------------------------------------------------------------------------
+# Enrichment
 
 
 def _rows(spark, sf_dir, each, name: str = "lines") -> DataFrame:
@@ -371,7 +371,7 @@ def tax_total_check(spark, sf_dir):
     return made.select("doc_id", enrich.tax_total_differs(F.col("lines"), ["line_tax_amount"], F.lit(0.2)).alias("differs"))
 
 
-# Validation ---------------------------------------------------------------------------------
+# Validation
 
 
 @query("SELECT doc_id, CASE WHEN contains(text, '@') THEN [] ELSE ['email'] END AS missing FROM documents WHERE contains(text, 'e')".replace("CASE WHEN contains(text, '@') THEN [] ELSE ['email'] END", "CASE WHEN contains(text, '@') THEN '' ELSE 'email' END"))
@@ -391,7 +391,7 @@ def schema_suggestions(spark, sf_dir):
     return spark.createDataFrame(list(validate.unknown(["invoice_numbr", "iban_code", "partner_nme", "amount_x", "date_x", "vat"]).items()), "name string, suggestion string")
 
 
-# Cascade ------------------------------------------------------------------------------------
+# Cascade
 
 
 @query("SELECT o_orderkey AS doc_id, CASE WHEN n = 0 OR o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS reader_rank, CAST(n AS BIGINT) AS n_lines FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)")
@@ -406,7 +406,7 @@ def cascade_best_reader(spark, sf_dir):
     return best.select("doc_id", "reader_rank", n.alias("n_lines"))
 
 
-# Word boxes ---------------------------------------------------------------------------------
+# Word boxes
 
 
 @query(f"WITH {ITEMS} SELECT l_orderkey AS doc_id, coalesce(string_agg(l_partkey || ' ' || l_returnflag, chr(10) ORDER BY pos) FILTER (pos BETWEEN 2 AND 4), '') AS cropped FROM items GROUP BY l_orderkey")
@@ -418,7 +418,7 @@ def wordbox_crop_lines(spark, sf_dir):
     return made.select("doc_id", wordboxes.crop(F.col("boxes"), area).alias("cropped"))
 
 
-# Identifiers --------------------------------------------------------------------------------
+# Identifiers
 
 _BBAN = "'WEST' || lpad(CAST(c_custkey AS VARCHAR), 14, '0')"
 _CHECK = "98 - CAST(CAST('32142829' || lpad(CAST(c_custkey AS VARCHAR), 14, '0') || '161100' AS HUGEINT) % 97 AS INTEGER)"
@@ -458,7 +458,7 @@ def classify_identifier(spark, sf_dir):
     return _ibans(spark, sf_dir).select("doc_id", values.alias("value")).select("doc_id", identifiers.classify(F.col("value")).alias("kind"))
 
 
-# Authoring ----------------------------------------------------------------------------------
+# Authoring
 
 
 def _sheet(spark, sf_dir) -> DataFrame:
@@ -500,7 +500,7 @@ def labels_detect(spark, sf_dir):
     return found.groupBy("doc_id").pivot("field", ["invoice_number", "date", "date_due", "amount", "bic"]).agg(F.first("value"))
 
 
-# Sinks --------------------------------------------------------------------------------------
+# Sinks
 
 
 @query(f"WITH {ITEMS} SELECT o_orderkey AS doc_id, o_totalprice AS amount, l_partkey AS line_product, l_extendedprice AS line_price_subtotal FROM orders JOIN items ON l_orderkey = o_orderkey")

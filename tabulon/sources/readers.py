@@ -58,7 +58,7 @@ def _with_file(run: Callable[[str], str], suffix: str) -> Callable[[bytes, Mappi
 
 def _pdftotext(content: bytes, area: Mapping[str, float] | None) -> str:
     flags = [] if area is None else [x for k in "flrxyWH" for x in (f"-{k}", str(int(area[k])))]
-    done = subprocess.run(["pdftotext", "-layout", "-q", "-enc", "UTF-8", *flags, "-", "-"], input=content, capture_output=True, timeout=180, check=True)
+    done = subprocess.run([*"pdftotext -q -enc UTF-8 -layout".split(), *flags, "-", "-"], input=content, capture_output=True, timeout=180, check=True)
     return done.stdout.decode("utf-8", "replace")
 
 
@@ -112,7 +112,7 @@ def _pdfoxide(path: str) -> str:
 
 
 def _tesseract(path: str) -> str:
-    picture = subprocess.run(["convert", "-density", "350", path, "-depth", "8", "-alpha", "off", "png:-"], capture_output=True, timeout=180, check=True).stdout
+    picture = subprocess.run([*"convert -density 350".split(), path, *"-alpha off -depth 8 png:-".split()], capture_output=True, timeout=180, check=True).stdout
     page = subprocess.run(["tesseract", "stdin", "stdout", "-l", tesseract_languages(), "pdf"], input=picture, capture_output=True, timeout=180, check=True).stdout
     return _pdftotext(page, None)
 
