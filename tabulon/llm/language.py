@@ -20,6 +20,8 @@ from tabulon.llm import shared
 ROWS, BYTES = 200, 16 << 10
 #: A text is coded in blocks of this size, so that a long text's later parts see the dictionary too.
 BLOCK = 4096
+#: A shorter text is coded repeated up to this size: the coder stores few bytes as they are, whatever the dictionary.
+RESOLVED = 256
 #: The best code must be smaller than the second by this share of it.
 MARGIN = 0.01
 
@@ -65,6 +67,9 @@ class Classifier:
             self._code.append(z.ZstdCompressor(dict_data=content, compression_params=how).compress)
 
     def sizes(self, text: bytes) -> list[int]:
+        """Size of the whole text's code by each dictionary, in the labels' order."""
+        if len(text) < RESOLVED:
+            text = (text + b" ") * -(-RESOLVED // (len(text) + 1))
         blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
         return [sum(len(code(block)) for block in blocks) for code in self._code]
 
@@ -93,7 +98,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
         model = _classifier(pickled)
         for batch in batches:
             label, best, second, accepted = [], [], [], []
-            for text in letters(batch.column(batch.num_columns - 1)).to_pylist():
+            parts = K.slices(K.strings(batch.column(batch.num_columns - 1)))
+            for text in (text for part in parts for text in letters(part).to_pylist()):
                 sizes = model.sizes(text.encode()) if text else []
                 order = np.argsort(sizes, kind="stable")
                 a = sizes[order[0]] if sizes else None

@@ -26,16 +26,22 @@ def test_brute_force(awkward):
         if not text:
             assert (r.detected_lang, r.code_size, r.second_size, r.accepted) == (None, None, None, False)
             continue
+        coded = text if len(text) >= language.RESOLVED else (text + b" ") * -(-language.RESOLVED // (len(text) + 1))
         sizes = {}
         for label, content in dictionaries.items():
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            sizes[label] = sum(len(z.ZstdCompressor(dict_data=d, compression_params=how).compress(text[i : i + language.BLOCK])) for i in range(0, len(text), language.BLOCK))
+            sizes[label] = sum(len(z.ZstdCompressor(dict_data=d, compression_params=how).compress(coded[i : i + language.BLOCK])) for i in range(0, len(coded), language.BLOCK))
         assert model.sizes(text) == [sizes["a"], sizes["b"]]
         best, second = sorted(sizes, key=lambda k: (sizes[k], k))
         assert (r.detected_lang, r.code_size, r.second_size) == (best, sizes[best], sizes[second])
         assert r.accepted == (sizes[second] - sizes[best] >= language.MARGIN * sizes[second])
 
 
+def test_short_texts_are_told_apart(documents):
+    found = language.identify(documents, language.fit(documents)).where("length(text) between 12 and 60").toPandas()
+    assert found.accepted.mean() > 0.9 and (found.lang == found.detected_lang)[found.accepted].mean() > 0.95
+
+
 def test_one_dictionary_or_none(awkward, empty):
     one = language.identify(awkward, {"a": b"abc " * 50}).collect()
     assert {(r.detected_lang, r.accepted) for r in one} == {("a", True), (None, False)}
