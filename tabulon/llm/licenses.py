@@ -29,6 +29,16 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "Copyright. All rights reserved.",
+    # One-line forms, of four distinct tokens at most: of so few all are needed, so that 'under the ... License' alone is no hit.
+    "apache-2.0-short": "Apache License 2.0",
+    "gpl-3.0-short": "General Public License 3",
+    "cc-by-nc-4.0-short": "BY-NC 4.0",
+    "cc-by-sa-4.0-short": "BY-SA 4.0",
+    "mit-short": "The MIT License",
+    "bsd-3-clause-short": "BSD 3-Clause",
+    "mpl-2.0-short": "Mozilla License 2.0",
+    "unlicense-short": "Under the Unlicense",
+    "all-rights-reserved-short": "All rights reserved.",
 }
 
 _TOKEN = np.zeros(256, bool)

@@ -52,3 +52,34 @@ def test_blocks_are_lines():
     _, block, row, number = licenses._blocks(K.strings(pa.array(texts)))
     assert list(zip(row.tolist(), number.tolist())) == [(i, k) for i, t in enumerate(texts) for k in range(1, len(t.split("\n")) + 1)]
     assert [(row[b], number[b]) for b in block] == [(0, 1), (0, 2), (3, 1), (4, 1)]
+
+
+def test_notice_lines_of_the_documents(spark, sf_dir, documents):
+    """Lines that name a license or rights, found in the documents by these words and not by the templates."""
+    short = {"apache": "apache-2.0-short", "mit": "mit-short", "general public": "gpl-3.0-short", "by-nc": "cc-by-nc-4.0-short", "all rights": "all-rights-reserved-short"}
+    want = set()
+    for i, text in documents.select("doc_id", "text").collect():
+        for k, line in enumerate((text or "").split("\n"), 1):
+            if re.search(r"\blicen[sc]ed?\b|rights reserved|copyright|public domain", line, re.I):
+                want.add((i, k, next(name for part, name in short.items() if part in line.lower())))
+    got = {(r.doc_id, r.block, r.license) for r in licenses.op10_licenses(spark, sf_dir).collect()}
+    assert {"mit-short", "all-rights-reserved-short"} <= {name for _, _, name in want}
+    assert {x for x in got if x[2].endswith("-short")} == want
+
+
+def test_short_forms_tell_licenses_apart(spark):
+    lines = {
+        "Released under the MIT License.": {"mit-short"},
+        "Released under the Zlib License.": set(),
+        "All rights are theirs.": set(),
+        "Distributed under the Mozilla Public License 2.0": {"mpl-2.0-short"},
+        "Licensed under the GNU General Public License, version 3": {"gpl-3.0-short"},
+        "Licensed under the GNU General Public License, version 2": set(),
+        "SPDX-License-Identifier: BSD-3-Clause": {"bsd-3-clause-short"},
+        "Shared under CC BY-SA 4.0": {"cc-by-sa-4.0-short"},
+    }
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    got = [set() for _ in lines]
+    for r in licenses.scan(docs).collect():
+        got[r.doc_id].add(r.license)
+    assert got == list(lines.values())
