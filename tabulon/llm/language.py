@@ -32,9 +32,25 @@ def letters(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.utf8_trim(pc.replace_substring_regex(text, r"[^\p{L}]+", " "), " ")
 
 
+def shared_out(texts: list[str], size: int) -> bytes:
+    """The texts' distinct lines of letters, each text cut to an equal share of ``size``; what a short one leaves passes on to the longer."""
+    plain = letters(pa.array([line for text in texts for line in dict.fromkeys(text.split("\n"))], pa.string())).to_pylist()
+    lines = iter(plain)
+    parts = [" ".join(dict.fromkeys(filter(None, [next(lines) for _ in dict.fromkeys(text.split("\n"))]))).encode() for text in texts]
+    left = size
+    order = sorted(range(len(parts)), key=lambda k: len(parts[k]))
+    for done, k in enumerate(order):
+        share = max(0, left // (len(parts) - done) - 1)  # less the blank between
+        if len(parts[k]) > share:
+            parts[k] = parts[k][: max(share and parts[k].rfind(b" ", 0, share + 1), 0) or share]
+        left -= len(parts[k]) + bool(parts[k])
+    return b" ".join(filter(None, parts))
+
+
 def fit(docs: DataFrame, rows: int = ROWS, size: int = BYTES, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> dict[str, bytes]:
     """A raw-content dictionary for each label, of the ``rows`` labelled texts that a hash of the id puts first.
 
+    Each of these has an equal share of ``size``, so that no long or repeating text fills a dictionary.
     Rows without label, id or text are left out. A table without labels gives no dictionary.
     """
     known = docs.where(docs[label_column].isNotNull() & docs[id_column].isNotNull())
@@ -45,11 +61,10 @@ def fit(docs: DataFrame, rows: int = ROWS, size: int = BYTES, id_column: str = "
     # The chosen ids are at most rows for each label, whatever the input.
     found = texts.join(F.broadcast(chosen), ["id", "label"]).where("text is not null").select("label", "at", "text").toArrow()
     found = found.sort_by([("label", "ascending"), ("at", "ascending"), ("text", "ascending")])
-    plain = letters(found["text"]).to_pylist()
     content: dict[str, list[str]] = {}
-    for label, text in zip(found["label"].to_pylist(), plain):
+    for label, text in zip(found["label"].to_pylist(), found["text"].to_pylist()):
         content.setdefault(label, []).append(text)
-    return {label: " ".join(parts).encode()[:size] for label, parts in content.items() if any(parts)}
+    return {label: dictionary for label, texts in content.items() if (dictionary := shared_out(texts, size))}
 
 
 class Classifier:

@@ -60,3 +60,15 @@ def test_stage_keeps_columns_as_they_came(spark, awkward):
 def test_fit_is_bounded(documents):
     for label, content in language.fit(documents, rows=5, size=1000).items():
         assert label and len(content) <= 1000
+
+
+def test_every_chosen_row_reaches_its_dictionary(spark):
+    rows = [(k, f"first{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]} " + "same words again " * 1500, "a") for k in range(99)] + [(99, "short", "a")]
+    content = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))["a"].split()
+    assert len({w for w in content if w.startswith(b"first")}) == 99 and b"short" in content
+
+
+def test_shares_of_short_texts_pass_on():
+    content = language.shared_out(["aa", "", "x y\nx y\nz", "word " * 100, "other " * 100], 200)
+    assert len(content) <= 200 and content.startswith(b"aa x y z word")
+    assert min(content.count(b"word"), content.count(b"other")) >= 14
