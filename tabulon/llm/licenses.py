@@ -65,12 +65,17 @@ class Template:
     name: str
     tokens: tuple[int, ...]
     least: int
+    words: int
 
 
-def tokens(text: str) -> np.ndarray:
+def words(text: str) -> np.ndarray:
     data = _LOWER[np.frombuffer(text.encode(), np.uint8)]
     starts, ends, _ = K.words(data, np.array([0, len(data)]), _TOKEN)
-    return np.unique(K.span_hashes(data, starts, ends))
+    return K.span_hashes(data, starts, ends)
+
+
+def tokens(text: str) -> np.ndarray:
+    return np.unique(words(text))
 
 
 class Index:
@@ -90,7 +95,7 @@ class Index:
             least = max(1, ceil(len(ranks) * percent / 100))
             for place, rank in enumerate(ranks[: len(ranks) - least + 1].tolist()):
                 self.postings.setdefault(rank, []).append((len(self.templates), place))
-            self.templates.append(Template(name, tuple(ranks.tolist()), least))
+            self.templates.append(Template(name, tuple(ranks.tolist()), least, len(words(text))))
         self.starts = np.zeros(len(order) + 1, bool)
         self.starts[list(self.postings)] = True
 
@@ -109,16 +114,48 @@ class Index:
         return [(t, n) for t, n in found if n >= t.least]
 
 
-def _known(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (block, token number) of the tokens in the vocabulary, and the blocks' rows and numbers."""
+def runs(template: Template, lines: list[tuple[int, set[int]]], blank: set[int]) -> list[tuple[int, int]]:
+    """First line and overlap of every run of two lines and more that contains enough of the template and holds no shorter one.
+
+    ``lines`` are the numbers and ranks of the lines with tokens of any template, ascending. A run
+    has no line of ``blank`` and not more lines than the template has words. A template of so few
+    tokens that all are needed is not searched for: prose next to another notice makes it up ('License' and German 'mit').
+    """
+    if template.least == len(template.tokens):
+        return []
+    want, count, found, i = set(template.tokens), dict.fromkeys(template.tokens, 0), [], 0
+    lines = [(n, common) for n, ranks in lines if (common := ranks & want)]
+    have = 0
+    for n, common in lines:
+        for t in common:
+            have += not count[t]
+            count[t] += 1
+        if have < template.least:
+            continue
+        while have >= template.least:  # the last line whose loss leaves too little is the run's first
+            first, overlap = i, have
+            for t in lines[i][1]:
+                count[t] -= 1
+                have -= not count[t]
+            i += 1
+        start = lines[first][0]
+        if start < n < start + template.words and blank.isdisjoint(range(start, n)):
+            found.append((start, overlap))
+    return found
+
+
+def _known(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (block, token number) of the tokens in the vocabulary, the blocks' rows and numbers, and which have any token."""
     h, block, row, number = _blocks(column)
     at = np.minimum(np.searchsorted(vocabulary, h), max(0, len(vocabulary) - 1))
     hit = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
     both = np.unique(block[hit] * len(vocabulary) + at[hit]) if hit.any() else np.zeros(0, np.int64)
-    return both // max(1, len(vocabulary)), both % max(1, len(vocabulary)), row, number
+    filled = np.zeros(len(row), bool)
+    filled[block] = True
+    return both // max(1, len(vocabulary)), both % max(1, len(vocabulary)), row, number, filled
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text", wrapped: bool = False) -> DataFrame:
     """Every block (line) of every text that contains ``percent`` hundredths of a template's tokens.
 
     Tokens are the distinct runs of ASCII letters and digits, without regard to ASCII case. A first
@@ -127,7 +164,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
     position filters drop no such block. Tokens in no template cannot add to an overlap and are left
     out of a block's set.
 
-    Result: the id column, ``block`` (line number from 1), ``license``, ``overlap`` and
+    ``wrapped`` also finds notices that are wrapped over lines: runs of adjacent lines, none without
+    a token and not more than the template has words, that together contain enough while no shorter
+    run in them does; templates of which every token is needed are looked for in single lines only. Only texts that contain enough as a whole, by the same filters, are searched.
+
+    Result: the id column, ``block`` (line number from 1, of a run its first), ``license``, ``overlap`` and
     ``template_tokens``; a row for each block and template, repeated for repeated rows and with null
     ids kept. Null and empty texts have no tokens. Other columns are ignored; a template without
     tokens matches nothing.
@@ -153,15 +194,30 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
         for batch in batches:
             before = 0
             for part in K.slices(K.strings(batch.column(1))):
-                block, token, row, number = _known(part, vocabulary)
+                block, token, row, number, filled = _known(part, vocabulary)
                 rank = index.rank[token] if len(token) else token
+                out: list[tuple] = []
+                if wrapped and len(token):
+                    whole = np.unique(row[block] * len(vocabulary) + rank)
+                    text, of = whole // len(vocabulary), whole % len(vocabulary)
+                    for r in np.unique(text[index.starts[of]]).tolist():
+                        at, to = np.searchsorted(text, [r, r + 1])
+                        hits = index.find(of[at:to].tolist())
+                        if not hits:
+                            continue
+                        a, b = np.searchsorted(row, [r, r + 1])  # its lines
+                        of_line: dict[int, set[int]] = {}
+                        for n, k in zip(number[block[(i := np.searchsorted(block, a)) : (j := np.searchsorted(block, b))]].tolist(), rank[i:j].tolist()):
+                            of_line.setdefault(n, set()).add(k)
+                        blank = set(number[a:b][~filled[a:b]].tolist())
+                        for t, _ in hits:
+                            out += [(before + r, first, t.name, n, len(t.tokens)) for first, n in runs(t, list(of_line.items()), blank)]
                 may = np.unique(block[index.starts[rank]]) if len(token) else block
                 keep = np.isin(block, may)
                 block, rank = block[keep], rank[keep]
                 order = np.lexsort((rank, block))
                 block, rank = block[order], rank[order]
                 first = np.searchsorted(block, may)
-                out: list[tuple] = []
                 for b, ranks in zip(may.tolist(), np.split(rank, first[1:])):
                     out += [(before + row[b], number[b], t.name, n, len(t.tokens)) for t, n in index.find(ranks.tolist())]
                 if out:
@@ -173,7 +229,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(shared.load(spark, sf_dir, "documents"))
+    return scan(shared.load(spark, sf_dir, "documents"), wrapped=True)
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, percent: int = PERCENT) -> str:

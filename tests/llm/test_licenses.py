@@ -83,3 +83,42 @@ def test_short_forms_tell_licenses_apart(spark):
     for r in licenses.scan(docs).collect():
         got[r.doc_id].add(r.license)
     assert got == list(lines.values())
+
+
+def brute_runs(rows, templates, percent):
+    bag = lambda t: re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    out = Counter()
+    for i, text in rows:
+        lines = [set(bag(line)) for line in (text or "").split("\n")]
+        for name, t in templates.items():
+            want = set(bag(t))
+            enough = lambda a, b: bool(want) and 100 * len(want & set().union(*lines[a:b])) >= percent * len(want)
+            for a in range(len(lines)) if 100 * (len(want) - 1) >= percent * len(want) else ():
+                for b in range(a + 2, min(len(lines), a + len(bag(t))) + 1):
+                    if all(lines[a:b]) and enough(a, b) and not enough(a + 1, b) and not enough(a, b - 1):
+                        out[i, a + 1, name, len(want & set().union(*lines[a:b])), len(want)] += 1
+    return out
+
+
+def test_brute_force_on_wrapped(spark):
+    r = random.Random(2)
+    stock = ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "Qr", "ST"]
+    templates = {f"t{k}": " ".join(r.choices(stock, k=r.randint(1, 9))) for k in range(12)} | {"none": "!!"}
+    rows = [(k % 50, "\n".join(" ".join(r.choices([*stock, "zz", "é"], k=r.randint(0, 4))) for _ in range(r.randint(0, 12)))) for k in range(200)]
+    rows += [(None, "ab cd\n# ef\n\nef"), (7, None), (8, ""), (9, "\n"), (9, "\n"), (10, "no licence")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for percent in (50, 80, 100):
+        got = Counter(map(tuple, licenses.scan(docs, templates, percent, wrapped=True).collect()))
+        runs = brute_runs(rows, templates, percent)
+        assert bool(runs) == (percent < 100) and got == brute(rows, templates, percent) + runs
+
+
+def test_wrapped_notices(spark, tmp_path):
+    import textwrap
+
+    names = [n for n in licenses.TEMPLATES if len(licenses.tokens(licenses.TEMPLATES[n])) > 4]
+    cases = [(name, width, mark) for name in names for width in (20, 40, 60, 72, 80, 100, 120) for mark in ("", "# ", " * ")]
+    texts = ["Some prose before.\n" + "\n".join(mark + line for line in textwrap.wrap(licenses.TEMPLATES[name], width)) + "\n\nAnd after." for name, width, mark in cases]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r.doc_id, r.license) for r in licenses.op10_licenses(spark, str(tmp_path)).collect()}
+    assert not [case for k, case in enumerate(cases) if (k, case[0]) not in found]
