@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from tabulon.llm import shared
 
+#: Bytes of decoded pictures that are held before they are sent on.
+SENT_BYTES = 16 << 20
+
 #: Natural place of each coefficient in scan order.
 ZIGZAG = np.array(sorted(range(64), key=lambda n: (n // 8 + n % 8, (n // 8 if (n // 8 + n % 8) % 2 else n % 8))))
 
@@ -188,7 +191,9 @@ def decode(data: bytes) -> np.ndarray:
     """Height x width x 3 RGB of a progressive (or baseline) JPEG of one or three components."""
     try:
         return _decode(data)
-    except (IndexError, TypeError, KeyError, ZeroDivisionError) as error:
+    except Broken:
+        raise
+    except (IndexError, TypeError, KeyError, ValueError, ArithmeticError) as error:
         raise Broken(f"broken off or inconsistent: {error!r}") from error
 
 
@@ -216,6 +221,8 @@ def _decode(data: bytes) -> np.ndarray:
         if marker == 0xDB:
             while body:
                 wide = 1 + (body[0] >> 4)
+                if wide > 2 or len(body) < 1 + 64 * wide:
+                    raise Broken("a quantisation table of the wrong length")
                 tables[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], ">u2" if wide == 2 else "u1").astype(np.int64)
                 body = body[1 + 64 * wide :]
         elif marker == 0xC4:
@@ -285,27 +292,38 @@ def decode_column(media: DataFrame, id_column: str, media_column: str) -> DataFr
     """
     schema = T.StructType([media.schema[id_column], T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("rgb", T.BinaryType()), T.StructField("error", T.StringType())])
 
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for data in batch.column(1).to_pylist():
-                if data is None:
+            rows: list[tuple] = []
+            begin = size = 0
+
+            def done(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                columns = list(zip(*rows)) or [(), (), (), ()]
+                return pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(rows)), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=schema.names)
+
+            for data in batch.column(1):
+                if not data.is_valid:
                     rows.append((None, None, None, None))
-                    continue
-                try:
-                    image = decode(data)
-                    rows.append((*image.shape[:2], image.tobytes(), None))
-                except Broken as error:
-                    rows.append((None, None, None, str(error)))
-            columns = list(zip(*rows)) or [(), (), (), ()]
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=schema.names)
+                else:
+                    try:
+                        image = decode(data.as_py())
+                        rows.append((*image.shape[:2], image.tobytes(), None))
+                        size += image.size
+                    except Broken as error:
+                        rows.append((None, None, None, str(error)))
+                if size > SENT_BYTES:
+                    yield done()
+                    begin, size = begin + len(rows), 0
+                    rows = []
+            yield done()
 
     return media.select(id_column, media_column).mapInArrow(apply, schema)
 
 
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding drawn as a progressive JPEG (the tables hold no images), then decoded."""
+    """Nulls and broken bytes as :func:`decode_column` says. Every embedding drawn as a progressive JPEG (the tables hold no images), then decoded."""
     from tabulon.llm.jpeg_fixture import drawn
 
     return decode_column(drawn(shared.load(spark, sf_dir, "embeddings")), "vec_id", "media")

@@ -16,14 +16,14 @@ from pyspark.sql import types as T
 from tabulon.llm import kernels as K
 from tabulon.llm import shared
 
-#: Labelled rows per language and bytes per dictionary: the bounds of what is fitted.
-ROWS, BYTES = 200, 16 << 10
+#: Labelled rows per language, and bytes of each: longer rows aren't fitted on. The bounds of what is fitted.
+ROWS, ROW_BYTES = 60, 8 << 10
 #: A text is coded in blocks of this size, so that a long text's later parts see the dictionary too.
 BLOCK = 4096
-#: A shorter text is coded repeated up to this size: the coder stores few bytes as they are, whatever the dictionary.
-RESOLVED = 256
+#: Follows every block and is taken off its size again: below some bytes the coder stores all as it is, whatever the dictionary.
+FILLER = b"\x01" * 64
 #: The best code must be smaller than the second by this share of it.
-MARGIN = 0.01
+MARGIN = 0.03
 
 
 def letters(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -32,39 +32,30 @@ def letters(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.utf8_trim(pc.replace_substring_regex(text, r"[^\p{L}]+", " "), " ")
 
 
-def shared_out(texts: list[str], size: int) -> bytes:
-    """The texts' distinct lines of letters, each text cut to an equal share of ``size``; what a short one leaves passes on to the longer."""
-    plain = letters(pa.array([line for text in texts for line in dict.fromkeys(text.split("\n"))], pa.string())).to_pylist()
-    lines = iter(plain)
-    parts = [" ".join(dict.fromkeys(filter(None, [next(lines) for _ in dict.fromkeys(text.split("\n"))]))).encode() for text in texts]
-    left = size
-    order = sorted(range(len(parts)), key=lambda k: len(parts[k]))
-    for done, k in enumerate(order):
-        share = max(0, left // (len(parts) - done) - 1)  # less the blank between
-        if len(parts[k]) > share:
-            parts[k] = parts[k][: max(share and parts[k].rfind(b" ", 0, share + 1), 0) or share]
-        left -= len(parts[k]) + bool(parts[k])
-    return b" ".join(filter(None, parts))
+def content(texts: list[str]) -> bytes:
+    """The texts' letters one after another; a line that a text repeats is taken once."""
+    lines = [line for text in texts for line in dict.fromkeys(text.split("\n"))]
+    return " ".join(filter(None, letters(pa.array(lines, pa.string())).to_pylist())).encode()
 
 
-def fit(docs: DataFrame, rows: int = ROWS, size: int = BYTES, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> dict[str, bytes]:
-    """A raw-content dictionary for each label, of the ``rows`` labelled texts that a hash of the id puts first.
+def fit(docs: DataFrame, rows: int = ROWS, row_bytes: int = ROW_BYTES, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> dict[str, bytes]:
+    """A raw-content dictionary for each label: the whole texts of ``rows`` labelled rows that a hash of id and text puts first.
 
-    Each of these has an equal share of ``size``, so that no long or repeating text fills a dictionary.
-    Rows without label, id or text are left out. A table without labels gives no dictionary.
+    Rows of over ``row_bytes`` bytes aren't fitted on, so at most rows * row_bytes a label reach the
+    driver, whatever the input. Rows without label, id or text are left out, repeated ones count
+    once. A label without rows of that size, or letters in them, has no dictionary.
     """
-    known = docs.where(docs[label_column].isNotNull() & docs[id_column].isNotNull())
-    ids = known.select(known[id_column].alias("id"), known[label_column].alias("label")).distinct()
-    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("at", F.row_number().over(first)).where(F.col("at") <= rows)
-    texts = docs.select(docs[id_column].alias("id"), docs[label_column].alias("label"), F.substring(docs[text_column], 1, size).alias("text"))
-    # The chosen ids are at most rows for each label, whatever the input.
-    found = texts.join(F.broadcast(chosen), ["id", "label"]).where("text is not null").select("label", "at", "text").toArrow()
+    source = docs.select(docs[id_column].alias("id"), docs[label_column].alias("label"), docs[text_column].alias("text"))
+    known = source.where(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.octet_length("text") <= row_bytes)).withColumn("of", F.xxhash64("text"))
+    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "of")
+    chosen = known.select("id", "label", "of").distinct().withColumn("at", F.row_number().over(first)).where(F.col("at") <= rows)
+    # The chosen rows are at most ``rows`` for each label, whatever the input.
+    found = known.join(F.broadcast(chosen), ["id", "label", "of"]).select("label", "at", "text").distinct().toArrow()
     found = found.sort_by([("label", "ascending"), ("at", "ascending"), ("text", "ascending")])
-    content: dict[str, list[str]] = {}
+    texts: dict[str, list[str]] = {}
     for label, text in zip(found["label"].to_pylist(), found["text"].to_pylist()):
-        content.setdefault(label, []).append(text)
-    return {label: dictionary for label, texts in content.items() if (dictionary := shared_out(texts, size))}
+        texts.setdefault(label, []).append(text)
+    return {label: dictionary for label, own in texts.items() if (dictionary := content(own))}
 
 
 class Classifier:
@@ -73,20 +64,19 @@ class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         import zstandard as z
 
-        how = z.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=16, search_log=4, min_match=3, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        how = z.ZstdCompressionParameters(window_log=20, chain_log=16, hash_log=16, search_log=4, min_match=3, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.labels = sorted(dictionaries)
-        self._code = []
+        self._code, self._filler = [], []
         for label in self.labels:
             content = z.ZstdCompressionDict(dictionaries[label], dict_type=z.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(compression_params=how)
             self._code.append(z.ZstdCompressor(dict_data=content, compression_params=how).compress)
+            self._filler.append(len(self._code[-1](FILLER)))
 
     def sizes(self, text: bytes) -> list[int]:
-        """Size of the whole text's code by each dictionary, in the labels' order."""
-        if len(text) < RESOLVED:
-            text = (text + b" ") * -(-RESOLVED // (len(text) + 1))
-        blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
-        return [sum(len(code(block)) for block in blocks) for code in self._code]
+        """Size of the whole text's code by each dictionary, in the labels' order: of all blocks, each less its filler's."""
+        blocks = [text[i : i + BLOCK] + FILLER for i in range(0, len(text), BLOCK)]
+        return [sum(len(code(block)) for block in blocks) - own * len(blocks) for code, own in zip(self._code, self._filler)]
 
 
 @lru_cache(maxsize=2)
@@ -98,10 +88,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     """Adds ``detected_lang``, ``code_size``, ``second_size`` and ``accepted`` to every row.
 
     The detected language is that of the smallest code over the whole text, of equal ones the first
-    by name. ``accepted`` says that it is smaller than the second by ``margin`` of the second. With
+    by name. One rule holds for texts of every size. ``accepted`` says that it is smaller than the second by ``margin`` of the second. With
     one dictionary only there is no second and every text with letters is accepted; a text without
     letters (null, empty, signs) or no dictionary at all gives null and is not accepted. Columns of
     ``docs`` with these four names are replaced; ``keep`` limits the others that are carried.
+    Repeated rows are judged each; a text is held in memory whole, several times its size.
     """
     added = [("detected_lang", T.StringType()), ("code_size", T.LongType()), ("second_size", T.LongType()), ("accepted", T.BooleanType())]
     kept = [c for c in keep or docs.columns if c not in {name for name, _ in added}]
@@ -130,12 +121,17 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language is clear, with the columns they came with."""
+    """Pipeline stage: documents whose language is clear, with the columns they came with.
+
+    Null and empty texts, and such without letters, go. Repeated rows all stay or all go. An empty
+    table, or one without labels, gives no rows.
+    """
     plain, names = shared.numbered(docs)
     found = identify(plain, fit(docs), text_column=names["text"])
     return found.where("accepted").select(*plain.columns).toDF(*docs.columns)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by dictionaries of its own labelled rows; nulls and ties as :func:`identify` says."""
     docs = shared.load(spark, sf_dir, "documents")
     return identify(docs.select("doc_id", "text"), fit(docs), keep=["doc_id"])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,13 +41,14 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
     return sequence, place
 
 
-def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, sequences: int = SEQUENCES, linear: float = LINEAR, quadratic: float = QUADRATIC, vocabulary: str = bpe.DEFAULT_VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, sequences: int = SEQUENCES, linear: float = LINEAR, quadratic: float = QUADRATIC, vocabulary: str = bpe.DEFAULT_VOCABULARY, id_column: str = "doc_id", text_column: str = "text", work: shared.Workspace | None = None) -> DataFrame:
     """Packs every document's tokens into sequences of at most ``capacity`` tokens.
 
     A document longer than a sequence is cut into full pieces and a rest. Pieces fall by a hash of
-    their document and number into groups of about ``sequences`` sequences, as many groups as the
-    tokens need; a group is packed as :func:`assign` says, longest first, of equal lengths the
-    smaller id and piece first. Only ids and counts are shuffled.
+    their document, place among the input's rows and number into groups of about ``sequences``
+    sequences, as many groups as the tokens need, so that an id repeated often spreads too; a group
+    is packed as :func:`assign` says, longest first, of equal lengths the smaller id, piece and row
+    first, null ids last. Only ids and counts are shuffled; ids are carried as they came.
 
     Result: the id column, ``piece``, ``token_start``, ``n_tokens``, ``bin`` (group), ``sequence``
     (in its group), ``sequence_offset`` and ``cost``. A text without tokens (null, empty) has one row
@@ -55,7 +56,7 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, sequenc
     each on its own. Other columns are ignored. An empty table gives no rows.
     """
     kind = docs.schema[id_column].dataType
-    work = shared.Workspace(spark, "packing")
+    work = work or shared.Workspace(spark, "packing")
     schema = T.StructType([T.StructField("id", kind), T.StructField("row", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,21 +75,22 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, sequenc
     last = F.expr(f"greatest(0, (n - 1) div {int(capacity)})").cast("int")
     pieces = counted.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     pieces = pieces.withColumn("token_start", F.col("piece").cast("bigint") * capacity).withColumn("n_tokens", F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("token_start")))
-    key = F.coalesce(F.col("id").cast("string"), F.col("row").cast("string"))
-    pieces = pieces.withColumn("bin", F.when(F.col("n") > 0, F.pmod(F.xxhash64(key, "piece"), F.lit(bins))))
+    pieces = pieces.withColumn("bin", F.when(F.col("n") > 0, F.pmod(F.xxhash64(F.col("id").cast("string"), "row", "piece"), F.lit(bins))))
     columns = [T.StructField(id_column, kind), T.StructField("piece", T.IntegerType()), T.StructField("token_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("bin", T.LongType()), T.StructField("sequence", T.LongType()), T.StructField("sequence_offset", T.LongType()), T.StructField("cost", T.DoubleType())]
 
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n_tokens", "id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
-        lengths = group["n_tokens"].to_numpy(np.int64)
+    def greedy(group: pa.Table) -> pa.Table:
+        order = pc.sort_indices(group, sort_keys=[("n_tokens", "descending"), ("id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
+        group = group.take(order)
+        lengths = group["n_tokens"].to_numpy()
         sequence, place = assign(lengths, capacity, linear, quadratic)
-        group = group.assign(sequence=sequence, sequence_offset=place, cost=linear * lengths + quadratic * lengths * lengths)
-        return group.rename(columns={"id": id_column})[[c.name for c in columns]]
+        made = [pa.array(sequence), pa.array(place), pa.array(linear * lengths + quadratic * lengths * lengths)]
+        return pa.table([*[group[c] for c in ("id", "piece", "token_start", "n_tokens", "bin")], *made], names=[c.name for c in columns])
 
-    packed = pieces.where("n > 0").select("id", "row", "piece", "token_start", "n_tokens", "bin").groupBy("bin").applyInPandas(greedy, T.StructType(columns))
+    packed = pieces.where("n > 0").select("id", "row", "piece", "token_start", "n_tokens", "bin").groupBy("bin").applyInArrow(greedy, T.StructType(columns))
     empty = pieces.where("n = 0").select(F.col("id").alias(id_column), "piece", "token_start", "n_tokens", F.lit(None).cast("bigint").alias("bin"), F.lit(None).cast("bigint").alias("sequence"), F.lit(None).cast("bigint").alias("sequence_offset"), F.lit(0.0).alias("cost"))
     return packed.unionByName(empty)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's places in sequences of 4,096 tokens; nulls, ties and repeated rows as :func:`pack` says."""
     return pack(spark, shared.load(spark, sf_dir, "documents"))

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,16 +161,17 @@ def _prune(rule: Rule, x: np.ndarray, y: np.ndarray) -> Rule:
     return best
 
 
-def learn(x: np.ndarray, y: np.ndarray, precision: float = 0.9, longest: int = 4, most: int = 16, fewest: int = 3) -> list[Rule]:
+def learn(x: np.ndarray, y: np.ndarray, precision: float = 0.9, longest: int = 4, most: int | None = None, fewest: int = 3) -> list[Rule]:
     """Ordered rules for the positives ``y``: grown on two thirds of the rows left, pruned on a third.
 
     A rule is kept if, of all rows left, it covers at least ``fewest`` positives at this precision;
-    rows it covers then leave. Learning ends at the first rule that doesn't, or at ``most`` rules.
+    rows it covers then leave. Learning ends at the first rule that doesn't, or at ``most`` rules if a number is given;
+    ``longest`` bounds the conditions of a rule.
     """
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
     third = np.arange(len(x)) % 3 == 0
-    while len(rules) < most and (y & left).any():
+    while (most is None or len(rules) < most) and (y & left).any():
         grow, prune = left & ~third, left & third
         rule = _prune(_grow(x[grow], y[grow], longest), x[prune], y[prune])
         inside = left & _covers(rule, x) if rule else np.zeros(len(x), bool)
@@ -183,21 +183,21 @@ def learn(x: np.ndarray, y: np.ndarray, precision: float = 0.9, longest: int = 4
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, precision: float = 0.9) -> list[Rule]:
-    """Rules for documents labelled ``quality`` 0, from at most about ``rows`` labelled documents.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, precision: float = 0.9, longest: int = 4, most: int | None = None, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> list[Rule]:
+    """Rules for documents labelled 0, from at most about ``rows`` labelled documents; the rest as in :func:`learn`.
 
     Chosen by the least hash of their id; null ids, labels and texts are left out. No rules come of
     an empty table, of labels of one kind, or where none is precise enough.
     """
-    known = labels.select(labels["doc_id"].alias("id"), labels["quality"].cast("int").alias("label")).where("id is not null and label is not null").distinct()
+    known = labels.select(labels[id_column].alias("id"), labels[label_column].cast("int").alias("label")).where("id is not null and label is not null").distinct()
     share = min(1.0, rows / max(1, known.count()))
     chosen = known.where(F.shiftrightunsigned(F.xxhash64("id"), 11) < int(share * (1 << 53)))
-    texts = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text")).where("text is not null")
+    texts = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text")).where("text is not null")
     # The chosen rows are about ``rows`` at most, whatever the input.
     joined = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
-    found = with_statistics(joined, keep=["id", "label"]).select("label", F.xxhash64("id").alias("order"), "__stats.*").toPandas()
+    found = with_statistics(joined, keep=["id", "label"]).select("label", F.xxhash64("id").alias("order"), "__stats.*").toArrow().to_pandas()
     found = found.sort_values(["order", "label", *STATISTICS], kind="stable")
-    return learn(found[list(STATISTICS)].to_numpy(), found["label"].to_numpy() == 0, precision)
+    return learn(found[list(STATISTICS)].to_numpy(), found["label"].to_numpy() == 0, precision, longest, most)
 
 
 def matched(rules: list[Rule]) -> Column:
@@ -215,15 +215,22 @@ def judge(docs: DataFrame, rules: list[Rule], keep: list[str] | None = None, tex
     """Adds ``rule`` (number of the first rule that holds, else null) and ``accepted`` (none does).
 
     Every row gets both, null and empty texts by statistics of zero. Columns of ``docs`` with these
-    names are replaced; ``keep`` limits the others.
+    names are replaced, all others come back as they are; ``keep`` limits them. Repeated rows are
+    judged each; where several rules hold the first one counts.
     """
     kept = [c for c in keep or docs.columns if c not in ("rule", "accepted")]
-    out = with_statistics(docs, kept, text_column).withColumn("rule", matched(rules))
-    return out.select(*kept, "rule", F.col("rule").isNull().alias("accepted"))
+    plain, _ = shared.numbered(docs.select(*[docs[c] for c in kept], docs[text_column]))
+    every = plain.columns
+    out = with_statistics(plain, every[:-1], every[-1]).select(*every[:-1], matched(rules).alias("rule"))
+    return out.select(*every[:-1], "rule", F.col("rule").isNull().alias("accepted")).toDF(*kept, "rule", "accepted")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that no rule rejects, with the columns they came with."""
+    """Pipeline stage: documents that no rule rejects, with the columns they came with.
+
+    Null and empty texts are judged by statistics of zero, repeated rows all alike. Without labels of
+    both kinds nothing is rejected; an empty table stays empty.
+    """
     rules = fit(docs, shared.load(spark, sf_dir, "labels"))
     plain, names = shared.numbered(docs)
     found = judge(plain, rules, text_column=names["text"])
@@ -231,5 +238,6 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that rejects each document, learned from the labelled ones; nulls as :func:`judge` says."""
     docs = shared.load(spark, sf_dir, "documents")
     return judge(docs, fit(docs, shared.load(spark, sf_dir, "labels")), keep=["doc_id"])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,22 +22,36 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named)
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
-        return current.get().rstrip("/")
+        return qualified(spark, current.get())
     if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tabulon-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+    return qualified(spark, context._jsc.sc().getCheckpointDir().get())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and host that Spark gives it, so that Python's file systems and Spark's mean the same place."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    return re.sub("^file:/(?!//)", "file:///", full)
 
 
 class Workspace:
-    """Tables of one run below the shared folder; reading them back cuts the lineage."""
+    """Tables of one run below the shared folder; reading them back cuts the lineage.
+
+    Results read from it, so it stays until :meth:`close`; :func:`closing` closes all that a block opens.
+    """
+
+    #: Those that are open, oldest first.
+    opened: list[Workspace] = []
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Workspace.opened.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -50,6 +67,8 @@ class Workspace:
 
     def close(self) -> None:
         """Deletes all of it; what reads from it must be done."""
+        if self in Workspace.opened:
+            Workspace.opened.remove(self)
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -58,6 +77,17 @@ class Workspace:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def closing(*kept: Workspace) -> Iterator[None]:
+    """Closes the workspaces opened within, but for ``kept``: for callers who write a result and are done with what made it."""
+    before = [*Workspace.opened, *kept]
+    try:
+        yield
+    finally:
+        for work in [w for w in Workspace.opened if w not in before]:
+            work.close()
+
+
 def numbered(frame: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The same rows with columns named by number, so that no name can clash, and the numbers by name."""
     names = [f"column{k}" for k in range(len(frame.columns))]

@@ -111,4 +111,5 @@ class TokenFiles:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the token files; nulls and repeated rows as :func:`write_token_files` says."""
     return write_token_files(spark, shared.load(spark, sf_dir, "documents"))

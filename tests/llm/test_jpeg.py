@@ -87,3 +87,33 @@ def test_odd_embeddings(spark):
     frame = spark.createDataFrame([(1, [1.0, float("nan")]), (2, []), (3, None), (None, [5.0])], "vec_id bigint, embedding array<float>")
     out = {r.vec_id: r for r in jpeg.decode_column(jpeg_fixture.drawn(frame), "vec_id", "media").collect()}
     assert out[3].rgb is None and out[3].error is None and all(out[k].rgb for k in (1, 2, None))
+
+
+def test_bad_tables_are_refused():
+    """A quantisation table that is cut short, of 16 bits and odd, or of a precision that doesn't exist."""
+    data = jpeg_fixture.encode(jpeg_fixture.picture(3, np.arange(64.0)))
+    at = data.index(b"\xff\xdb")
+    for table in (b"\0" + bytes(40), b"\x10" + bytes(67), b"\x50" + bytes(64), b"\0" + bytes(range(1, 65)) + b"\x01\x02"):
+        with pytest.raises(jpeg.Broken):
+            jpeg.decode(data[:at] + b"\xff\xdb" + (len(table) + 2).to_bytes(2, "big") + table + data[at + 69 :])
+
+
+def test_corrupt_bytes_never_raise_anything_else():
+    data = jpeg_fixture.encode(jpeg_fixture.picture(5, np.arange(64.0)))
+    rng = np.random.default_rng(7)
+    for _ in range(3000):
+        bent = bytearray(data)
+        for _ in range(rng.integers(1, 4)):
+            bent[rng.integers(0, len(bent))] = rng.integers(0, 256)
+        try:
+            jpeg.decode(bytes(bent))
+        except jpeg.Broken:
+            pass
+
+
+def test_batches_are_sent_by_bytes(spark, monkeypatch):
+    good = jpeg_fixture.encode(jpeg_fixture.picture(1, np.arange(9.0)))
+    media = spark.createDataFrame([(k, bytearray(good) if k % 3 else None) for k in range(50)], "vec_id bigint, media binary").coalesce(1)
+    monkeypatch.setattr(jpeg, "SENT_BYTES", 1000)
+    rows = jpeg.decode_column(media, "vec_id", "media").collect()
+    assert [r.vec_id for r in rows] == list(range(50)) and all((r.rgb is None) == (r.vec_id % 3 == 0) for r in rows)

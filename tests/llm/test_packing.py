@@ -59,3 +59,17 @@ def test_pack(spark, awkward):
 
 def test_empty(spark, empty):
     assert packing.pack(spark, empty).count() == 0
+
+
+def test_ids_come_back_exactly(spark):
+    """Ids beyond a double's whole numbers beside a null in one group, and ids of text."""
+    rows = [(9007199254740993, "a b c"), (9007199254740995, "d e"), (None, "f")]
+    for kind, of in (("bigint", lambda x: x), ("string", lambda x: x if x is None else f"id {x}")):
+        frame = spark.createDataFrame([(of(i), t) for i, t in rows], f"doc_id {kind}, text string").coalesce(1)
+        assert {r.doc_id for r in packing.pack(spark, frame).collect()} == {of(i) for i, _ in rows}
+
+
+def test_rows_of_one_id_spread(spark):
+    frame = spark.range(4000).selectExpr("1L as doc_id", "'some words here' as text")
+    rows = packing.pack(spark, frame, capacity=64, sequences=4).collect()
+    assert len(rows) == 4000 and len({r.bin for r in rows}) > 20

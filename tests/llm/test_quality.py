@@ -67,3 +67,22 @@ def test_nothing_to_learn(spark, awkward, empty):
     assert quality.fit(awkward, labels) == [] == quality.fit(empty, labels)
     assert quality.judge(awkward, []).where("accepted").count() == awkward.count()
     assert quality.judge(empty, []).count() == 0
+
+
+def test_a_callers_columns_come_back(awkward):
+    rows = quality.judge(awkward, [(quality.Condition("n_words", False, 2.0),)]).collect()
+    assert rows and all(r["__stats"] == "z" and r["column0"] if "column0" in r else r["__stats"] == "z" for r in rows)
+
+
+def test_many_rules_are_learnt():
+    rng = np.random.default_rng(1)
+    x = rng.random((20_000, len(quality.STATISTICS)))
+    y = ((x > 0.99) | (x < 0.01)).any(axis=1)
+    assert len(quality.learn(x, y)) > 20 and len(quality.learn(x, y, most=5)) == 5
+
+
+def test_ids_and_names_of_any_kind(spark):
+    rows = [(f"k{k}", "||| --- |||" if k % 2 else "some quiet words of prose", k % 2) for k in range(90)]
+    frame = spark.createDataFrame(rows, "key string, body string, bad int")
+    rules = quality.fit(frame, frame.selectExpr("key", "1 - bad as good"), id_column="key", text_column="body", label_column="good")
+    assert rules and all(r.accepted != bool(r.bad) for r in quality.judge(frame, rules, text_column="body").collect())

@@ -110,3 +110,27 @@ def test_empty_tables(spark, empty, tmp_path):
     assert token_files.write_token_files(spark, empty).count() == 0
     assert chunk_reuse.encode(spark, empty).count() == 0
     assert token_counts.count_tokens(spark, empty, f"file://{tmp_path}/none").count() == 0
+
+
+def test_folders_without_scheme_are_qualified(spark, tmp_path):
+    """Spark and Python's file systems must mean the same place, whatever file system is the default one."""
+    made = shared.qualified(spark, f"{tmp_path}/x")
+    assert made == f"file://{tmp_path}/x" and shared.qualified(spark, made + "/") == made
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", f"viewfs://cluster/")
+    conf.set("fs.viewfs.mounttable.cluster.link./shared", f"file://{tmp_path}")
+    try:
+        assert shared.qualified(spark, "/shared/x") == "viewfs://cluster/shared/x"
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")
+
+
+def test_workspaces_are_closed(spark, tmp_path):
+    from pathlib import Path
+
+    with shared.closing():
+        work = shared.Workspace(spark, "closed")
+        work.table(spark.range(3).toDF("x"), "t")
+        assert Path(work.path.removeprefix("file://")).exists()
+    assert not Path(work.path.removeprefix("file://")).exists() and work not in shared.Workspace.opened

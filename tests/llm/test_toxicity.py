@@ -55,3 +55,19 @@ def test_labels_of_one_kind_and_nulls(spark, awkward, empty):
     assert len(at) == 0 and bias == 0
     assert toxicity.fit(empty, labels)[2] == 0
     assert toxicity.score(empty, (at, np.zeros(0, np.float32), 0.0)).count() == 0
+
+
+def test_ids_of_any_type_and_names_of_columns(spark):
+    rows = [(f"id {k}", ("zork blarg " if k % 2 else "mild words ") * 5, k % 2) for k in range(60)]
+    frame = spark.createDataFrame(rows, "key string, body string, bad int")
+    weights = toxicity.fit(frame, frame.select("key", "bad"), epochs=10, label_column="bad", id_column="key", text_column="body")
+    assert len(weights[0])
+    assert all(r.toxic == bool(r.bad) for r in toxicity.score(frame, weights, text_column="body").collect())
+
+
+def test_what_is_fitted_is_bounded_by_bytes(spark):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(500)), k % 2) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    assert toxicity.fit(frame, frame, slot_bytes=100)[2] == 0  # no row fits, so nothing is learned
+    few, all_of_them = toxicity.fit(frame, frame, slot_bytes=60_000, epochs=30), toxicity.fit(frame, frame, epochs=30)
+    assert 0 < len(few[0]) < len(all_of_them[0])
