@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.shared import Workspace
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """Edges with ``m``, the least ``v`` of their ``u``: added up before the shuffle and joined back, so a node with very many edges is gathered nowhere."""
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-    return both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    least = _least(edges)
     hooks = least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hooks.unionAll(least.select("u", F.col("m").alias("v")))
 

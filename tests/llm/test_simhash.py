@@ -27,8 +27,12 @@ def test_every_pair_within_the_radius_meets():
         b = a.copy()
         for f in flips:
             b[f // 64] ^= np.uint64(1) << np.uint64(f % 64)
-        both = simhash.buckets(np.array([a[1], b[1]]), np.array([a[0], b[0]]))
-        assert (both[0] == both[1]).any()
+        assert any(x[0] == x[1] for x in simhash.buckets(np.array([a[1], b[1]]), np.array([a[0], b[0]])))
+        flips = rng.choice(128, 7, replace=False)
+        b = a.copy()
+        for f in flips:
+            b[f // 64] ^= np.uint64(1) << np.uint64(f % 64)
+        assert any(x[0] == x[1] for x in simhash.buckets(np.array([a[1], b[1]]), np.array([a[0], b[0]]), 2, 3))
 
 
 def test_signatures_by_brute_force(awkward):
@@ -154,3 +158,68 @@ def test_stage_keeps_one_of_each_group(spark, awkward, empty):
     assert not Counter(map(tuple, kept.collect())) - every
     assert simhash.keep_one(spark, empty, "").count() == 0
     assert simhash.near_duplicates(spark, empty).count() == 0
+
+
+def _components_of(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(k) for k in range(n)]
+
+
+def test_pivots_connect_what_pairs_connect():
+    """Clusters around centres, chains that leave them, and noise, at all sizes of a bucket."""
+    rng = np.random.default_rng(5)
+    for round_ in range(12):
+        centres = rng.integers(0, 1 << 63, (3, 4), dtype=np.uint64)
+        sigs = centres[rng.choice(3, 400, p=[0.8, 0.15, 0.05])].copy()
+        sigs[:100] = sigs[0]
+        for row in sigs:
+            for f in rng.choice(256, rng.integers(0, 45 if round_ % 2 else 30), replace=False):
+                row[f // 64] ^= np.uint64(1) << np.uint64(f % 64)
+        sigs[350:] = rng.integers(0, 1 << 63, (50, 4), dtype=np.uint64)
+        words = [np.ascontiguousarray(sigs[:, k]) for k in range(4)]
+        apart = np.bitwise_count(sigs[:, None] ^ sigs[None]).astype(int)
+        near = (apart[..., :2].sum(axis=2) <= 19) & (apart.sum(axis=2) <= 40)
+        want = _components_of(400, zip(*np.nonzero(np.triu(near, 1))))
+        a, b, rest = simhash.around_pivots(words, 19, 40)
+        assert all(near[i, j] for i, j in zip(a, b)) and (round_ % 2 or len(rest) < 300)
+        within = [(i, j) for i in rest.tolist() for j in rest.tolist() if i < j and near[i, j]]
+        assert _components_of(400, [*zip(a, b), *within]) == want
+        c, d = simhash.forest(np.zeros(400, np.int64), words)
+        assert _components_of(400, zip(c.tolist(), d.tolist())) == want
+
+
+def test_a_hot_group_of_near_copies(spark):
+    """A third of the rows are near copies of one text; their buckets are split into blocks and nothing is lost."""
+    r = random.Random(9)
+    stock = ["".join(r.choices("abcdefghijklm", k=r.randint(3, 9))) for _ in range(4000)]
+    base = [r.choice(stock) for _ in range(200)]
+    rows = [(k, " ".join(w if r.random() > 0.02 else r.choice(stock) for w in base)) for k in range(600)]
+    rows += [(1000 + k, " ".join(r.choice(stock) for _ in range(60))) for k in range(1200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = _groups_by_brute_force(frame)
+    for size in (simhash.BUCKET_ROWS, 150, 40):
+        assert Counter((x.doc_id, x.keeper, x.group_size) for x in simhash.near_duplicates(spark, frame, bucket_rows=size).collect()) == want
+    assert max(n for _, _, n in want) > 500
+
+
+def test_other_radii(spark, documents):
+    """With two parts of radius 4 the pairs within 9 of 128 bits are linked, those and no others."""
+    rows = documents.select("doc_id", "text").collect()
+    from tabulon.llm import kernels as K
+
+    sigs, worded = simhash.signatures(K.strings(pa.array([r.text for r in rows], pa.string())))
+    apart = np.bitwise_count(sigs[:, None] ^ sigs[None]).astype(int)
+    near = (apart[..., :2].sum(axis=2) <= 9) & (apart.sum(axis=2) <= 40) & worded[:, None] & worded[None]
+    want = _components_of(len(rows), zip(*np.nonzero(np.triu(near, 1))))
+    got = {x.doc_id: x.group_size for x in simhash.near_duplicates(spark, documents, parts=2, part_radius=4).collect()}
+    sizes = Counter(want)
+    assert got == {r.doc_id: sizes[w] for r, w in zip(rows, want)}
+    assert simhash.costs(10**6, 2, 4)["radius"] == 9 and simhash.costs(2 * 10**6)["comparisons"] == 4 * simhash.costs(10**6)["comparisons"]
