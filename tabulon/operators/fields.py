@@ -29,7 +29,7 @@ def coerce(value: Column, kind: str | None, options: Options) -> Column:
     if kind == "float":
         return F.when(value == "", F.lit(0.0)).otherwise(numbers.parse_number(value, options.decimal_separator))
     if kind in ("date", "datetime"):
-        return dates.parse_date(value, options.date_formats)
+        return dates.parse_date(value, options.date_formats, languages=options.languages)
     return value
 
 

@@ -79,7 +79,7 @@ def rows(block: Column, rule: LineRule) -> Column:
     """
     columns = names(rule)
     shape = "struct<" + ",".join(f"`{c}`:string" for c in columns) + ">"
-    lines = F.filter(F.split(block, f"\\Q{rule.line_separator}\\E"), lambda l: (F.translate(l, "\r\n", "") != "") & ~_hit(l, rule.skip_line))
+    lines = F.filter(F.split(block, translate(rule.line_separator).java), lambda l: (F.translate(l, "\r\n", "") != "") & ~_hit(l, rule.skip_line))
     if not rule.first_line and not rule.last_line:
         if len(rule.line) == 1:  # one pass finds the lines that fit and takes them apart
             p = translate(rule.line[0])

@@ -6,15 +6,20 @@ Runs in Arrow batches; it is also what tests compare the native expressions with
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime
+from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 from typing import Any
 
+from tabulon.functions.dates import read_date
+from tabulon.operators.enrich import ALIASES, UNIT_CODES
 from tabulon.operators.tables import column_type
+from tabulon.operators.wordboxes import TOLERANCE, area_in_points
 from tabulon.sources.templates import LineRule, LinesField, Options, RegexField, StaticField, TableRule, Template
 
 _MARKED = re.compile(r"[,.'\\s]")
+_PLAIN = re.compile(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$")
 _NUMBER = re.compile(r"[+-]?\d+(?:[\s',.]\d+)*")
 
 
@@ -32,30 +37,20 @@ def parse_number(value: str, decimal: str) -> float:
     return float(bare.replace(decimal, "."))
 
 
-def parse_date(value: str, options: Options) -> datetime | None:
-    from tabulon.functions.dates import GENERAL
-
-    for form in options.date_formats:
-        try:
-            return datetime.strptime(value.strip(), form)
-        except ValueError:
-            continue
-    back = {"yyyy": "%Y", "MMMM": "%B", "MMM": "%b", "M": "%m", "d": "%d", "H": "%H", "m": "%M", "s": "%S"}
-    for form in GENERAL:
-        percent = re.sub(r"y+|M+|d|H|m|s", lambda m: back[m[0]], form.replace("'T'", "\0")).replace("\0", "T")
-        try:
-            return datetime.strptime(value.strip(), percent)
-        except ValueError:
-            continue
-    return None
-
-
 def coerce(value: str, kind: str | None, options: Options) -> Any:
     if kind == "int":
         return int(parse_number(value, options.decimal_separator)) if value else 0
     if kind == "float":
         return parse_number(value, options.decimal_separator) if value else 0.0
-    return parse_date(value, options) if kind in ("date", "datetime") else value
+    return read_date(value, options.date_formats, options.languages) if kind in ("date", "datetime") else value
+
+
+def cell(value: str, kind: str | None, options: Options) -> Any:
+    """As ``coerce``; a number that can't be read is left out, as it is in rows."""
+    try:
+        return coerce(value, kind, options)
+    except ValueError:
+        return None
 
 
 def group(values: list, how: str) -> Any:
@@ -103,7 +98,7 @@ def rows(block: str, rule: LineRule) -> list[dict[str, str]]:
     done: list[dict[str, str]] = []
     row: dict[str, str] = {}
     is_open = False
-    for line in block.split(rule.line_separator):
+    for line in _compiled(rule.line_separator).split(block):
         if not line.strip("\n").strip("\r") or _match(rule.skip_line, line):
             continue
         if m := _match(first, line):
@@ -140,7 +135,7 @@ def line_items(text: str, spec: LinesField, options: Options) -> list[dict[str,
                     for pattern, by in pairs:
                         if name in row:
                             row[name] = re.sub(pattern, by, row[name])
-                out.append({k: coerce(v, dict(rule.types).get(k), options) for k, v in row.items()})
+                out.append({k: cell(v, dict(rule.types).get(k), options) for k, v in row.items()})
     return out
 
 
@@ -149,10 +144,10 @@ def table(text: str, rule: TableRule, options: Options) -> dict[str, Any]:
     if not s or not e:
         return {}
     columns: dict[str, list] = {}
-    for line in text[s.end() : e.start()].split(rule.line_separator):
+    for line in _compiled(rule.line_separator).split(text[s.end() : e.start()]):
         if line.strip() and (m := _compiled(rule.body).search(line)):
             for name, value in m.groupdict().items():
-                columns.setdefault(name, []).append(coerce((value or "").strip(), column_type(name, rule), options))
+                columns.setdefault(name, []).append(cell((value or "").strip(), column_type(name, rule), options))
     grouped = dict(rule.groups)
     out = {name: group(values, grouped[name]) if name in grouped else values[0] if len(values) == 1 else values for name, values in columns.items()}
     return {k: v for k, v in out.items() if v is not None}
@@ -172,27 +167,137 @@ def prepare(text: str, options: Options) -> str:
     return text
 
 
-def extract(raw: str, template: Template) -> dict[str, Any]:
-    """Fields of one text; ValueError where a number cannot be read."""
+def _number(row: Mapping[str, Any], name: str) -> float | None:
+    value = row.get(name)
+    if isinstance(value, str):
+        return float(value) if _PLAIN.search(value.strip()) else None
+    return None if value is None or isinstance(value, datetime) else float(value)
+
+
+def tax_amount(subtotal: float | None, percent: float | None) -> float | None:
+    """Half-up at two places on the digits that are shown."""
+    if subtotal is None or percent is None:
+        return None
+    shown = Decimal(repr(subtotal * percent / 100)).quantize(Decimal("0.000001"), ROUND_HALF_UP)
+    return float(shown.quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
+def rename_aliases(rows: list[dict[str, Any]], columns: Sequence[str]) -> None:
+    """Canonical names in place of the others; the canonical value wins, and another name stays beside one that was there first."""
+    for canonical in dict.fromkeys(ALIASES.values()):
+        others = [a for a, c in ALIASES.items() if c == canonical and a in columns]
+        for row in rows if others else ():
+            held = [n for n in ([canonical] if canonical in columns else []) + others if row.get(n) is not None]
+            value = row[held[0]] if held else None
+            if held and held[0] != canonical:
+                del row[held[0]]
+            if held:
+                row[canonical] = value
+
+
+def add_unit_codes(rows: list[dict[str, Any]]) -> None:
+    for row in rows:
+        if row.get("uom") is not None and row.get("unece_code") is None and (code := UNIT_CODES.get(str(row["uom"]).strip().lower())):
+            row["unece_code"] = code
+
+
+def apply_tax(rows: list[dict[str, Any]], taxes: list[dict[str, Any]], by_code: bool) -> None:
+    """Rates for lines without one: of the last tax row of their code, else the only active rate; and the amount with it."""
+    active = {p for t in taxes if (p := _number(t, "line_tax_percent")) and (_number(t, "price_subtotal") or _number(t, "line_tax_amount"))}
+    single = next(iter(active)) if len(active) == 1 else None
+    for row in rows:
+        given = single
+        if by_code and (code := row.get("line_tax_code")) is not None:
+            same = [t for t in taxes if t.get("line_tax_code") is not None and str(t["line_tax_code"]) == str(code) and t.get("line_tax_percent") is not None]
+            own = _number(same[-1], "line_tax_percent") if same else None
+            given = own if own is not None else single
+        before = _number(row, "line_tax_percent")
+        amount = _number(row, "line_tax_amount")
+        row["line_tax_percent"] = given if before is None else before
+        row["line_tax_amount"] = tax_amount(_number(row, "price_subtotal"), given) if amount is None and before is None else amount
+
+
+def compute_tax(taxes: list[dict[str, Any]]) -> None:
+    for t in taxes:
+        own = _number(t, "line_tax_amount")
+        t["line_tax_amount"] = tax_amount(_number(t, "price_subtotal"), _number(t, "line_tax_percent")) if own is None else own
+
+
+def tax_total_differs(taxes: list[dict[str, Any]], total: float | None) -> bool:
+    cents = [Decimal(repr(a)).quantize(Decimal("0.01"), ROUND_HALF_UP) for t in taxes if (a := _number(t, "line_tax_amount")) is not None]
+    return total is not None and sum(cents) != 0 and abs(sum(cents) - Decimal(repr(total)).quantize(Decimal("0.01"), ROUND_HALF_UP)) > Decimal("0.02")
+
+
+def crop(boxes: list[Mapping[str, Any]], area: Mapping[str, float]) -> str:
+    """Text of the words that overlap an area, as lines."""
+    left, top, right, bottom = area_in_points(area)
+    inside = [b for b in boxes if area["f"] <= b["page"] <= area["l"] and b["x1"] > left and b["x0"] < right and b["y1"] > top and b["y0"] < bottom]
+    out: list[list[tuple[float, str]]] = []
+    before: tuple[int, float] | None = None
+    for b in sorted(inside, key=lambda b: (b["page"], b["y0"], b["x0"], b["text"])):
+        if before is None or b["page"] != before[0] or abs(before[1] - b["y0"]) > TOLERANCE:
+            out.append([])
+        out[-1].append((b["x0"], b["text"]))
+        before = b["page"], b["y0"]
+    return "\n".join(" ".join(t for _, t in sorted(line)) for line in out)
+
+
+def extract(raw: str, template: Template, boxes: list[Mapping[str, Any]] | None = None) -> dict[str, Any]:
+    """Fields of one text, as the native plan gives them; ValueError where a number cannot be read.
+
+    Own parsers are expressions and give nothing here.
+    """
     options = template.options
     text = prepare(raw, options)
     out: dict[str, Any] = {"issuer": template.issuer, "template_name": template.name}
+    rows: dict[str, tuple[list[dict[str, Any]], list[str]]] = {}
     for spec in template.fields:
+        area = getattr(spec, "area", None)
+        source = text if boxes is None or not area else crop(boxes, dict(area))
         if isinstance(spec, StaticField):
             value = spec.value
         elif isinstance(spec, LinesField):
-            value = line_items(text, spec, options) or ([] if spec.keep_empty else None)
+            value = line_items(source, spec, options)
+            rows[spec.name] = value, [n for r in spec.rules for p in (*r.first_line, *r.line, *r.last_line) for n in _compiled(p).groupindex]
+            value = value or ([] if spec.keep_empty else None)
+        elif isinstance(spec, RegexField):
+            value = field(source, spec, options)
         else:
-            value = field(text, spec, options)
+            continue
         if value is not None and value != "":
             out[spec.name] = value
-    out.setdefault("currency", options.currency)
     for rule in template.tables:
         out.update(table(text, rule, options))
+    for name in ("lines", "tax_lines"):
+        if name in rows:
+            rename_aliases(*rows[name])
+    if "lines" in rows:
+        add_unit_codes(rows["lines"][0])
+    if {"lines", "tax_lines"} <= set(rows):
+        by_code = "line_tax_code" in rows["lines"][1] and "line_tax_code" in rows["tax_lines"][1]
+        apply_tax(rows["lines"][0], rows["tax_lines"][0], by_code)
+    taxed = {ALIASES.get(c, c) for c in rows["tax_lines"][1]} if "tax_lines" in rows else set()
+    if {"line_tax_percent", "price_subtotal"} <= taxed:
+        compute_tax(rows["tax_lines"][0])
+    out.setdefault("currency", options.currency)
     out["desc"] = f"Invoice from {template.issuer}"
     return out
 
 
+def warnings(record: Mapping[str, Any], template: Template) -> list[str]:
+    """What doesn't fit but is no error: a stated tax total that isn't its rows' sum."""
+    stated = next((f for f in template.fields if isinstance(f, RegexField) and f.name == "amount_tax" and not f.group), None)
+    taxes = record.get("tax_lines")
+    if stated is None or not isinstance(taxes, list) or isinstance(record.get("amount_tax"), list):
+        return []
+    return ["tax_total"] if tax_total_differs(taxes, _number(record, "amount_tax")) else []
+
+
+def lineless(record: Mapping[str, Any], template: Template) -> bool:
+    """The template declares lines and the record has no list that isn't empty."""
+    return template.declares_lines and not any(isinstance(v, list) and v for v in record.values())
+
+
 def as_json(record: Mapping[str, Any]) -> str:
     import json
 

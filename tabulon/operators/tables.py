@@ -39,7 +39,7 @@ def _cell(place: int, kind: str | None, options: Options):
 def columns(text: Column, rule: TableRule, options: Options) -> dict[str, Column]:
     """Each named column's values in line order (array), or their group; null where no line fits."""
     p = translate(rule.body)
-    lines = F.filter(F.split(body(text, rule), f"\\Q{rule.line_separator}\\E"), lambda l: strip(l) != "")
+    lines = F.filter(F.split(body(text, rule), translate(rule.line_separator).java), lambda l: strip(l) != "")
     marked = F.transform(lines, lambda l: F.regexp_replace(l, whole_line(p), MATCHED + CELL.join(f"${n}" for _, n in p.names)))
     rows = F.transform(F.filter(marked, lambda m: m.startswith(MATCHED)), lambda m: F.split(F.substring(m, 2, 1 << 30), CELL))
     grouped = dict(rule.groups)

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import types as T
 
 from tabulon.functions.binding import computed, let
 from tabulon.functions.text import prepare
 from tabulon.operators import enrich, fields, lines, matching, tables, validate, wordboxes
-from tabulon.sources.templates import PARSERS, CustomField, LinesField, RegexField, StaticField, Template, by_priority, read_templates
+from tabulon.sources.templates import PARSERS, CustomField, LinesField, RegexField, StaticField, Template, TemplateError, by_priority, read_templates
 
 
 @dataclass
@@ -74,8 +73,8 @@ def _ready(template: Template, text: Column) -> Column:
 
 
 def _staged(frame: DataFrame, template: Template, text: Column, name: str) -> DataFrame:
-    """Adds what Python has to make of a text before expressions can go on: the prepared text, or the whole record."""
-    made = _python_json(template, text) if not template.native else _ready(template, F.when(matching.matches(text, template), text))
+    """Adds what Python has to make of a text before expressions can go on: the prepared text."""
+    made = _ready(template, F.when(matching.matches(text, template), text))
     return computed(frame.withColumn(name + "_", made), F.col(name + "_"), name).drop(name + "_")
 
 
@@ -162,8 +161,6 @@ def record(template: Template, text: Column, staged: Column | None = None, boxes
 
     ``staged`` is what :func:`_staged` added for a template that needs it.
     """
-    if not template.native:
-        return _python_record(template, staged)
     c = compile_template(template, text if staged is None else staged, staged is not None, boxes)
     return let(c.struct(), lambda s: _record_of(c, s))
 
@@ -215,52 +212,102 @@ def _finished(template: Template, made: Column, names: Column, broken: Column, l
     return let(F.struct(validate.missing(names, template.required).alias("lacking"), validate.unknown_present(names, template, every).alias("odd")), done)
 
 
-def _python_json(template: Template, text: Column) -> Column:
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        from tabulon.operators.python_dialect import as_json, extract
+_FOUND = T.StructType([
+    T.StructField("json", T.StringType()), *[T.StructField(n, T.ArrayType(T.StringType())) for n in ("names", "missing", "unknown", "warnings")],
+    T.StructField("error", T.StringType()), T.StructField("lineless", T.BooleanType()),
+])
 
-        def one(t: str | None) -> str | None:
+
+def _by_python(text: Column, which: Column, templates: Mapping[int, Template], boxes: Column | None) -> Column:
+    """What the Python dialect makes of each text by the template of its number; one function for all templates, null for others' texts."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(_FOUND)
+
+    @F.arrow_udf(_FOUND)
+    def run(texts: pa.Array, numbers: pa.Array, words: pa.Array) -> pa.Array:
+        from tabulon.operators import python_dialect
+
+        out = []
+        for raw, k, own in zip(texts.to_pylist(), numbers.to_pylist(), words.to_pylist()):
+            if raw is None or k not in templates:
+                out.append(None)
+                continue
+            template = templates[k]
             try:
-                return None if t is None else as_json(extract(t, template))
+                made = python_dialect.extract(raw, template, own)
             except ValueError:
-                return None
+                out.append({"json": None, "names": [], "missing": [], "unknown": [], "warnings": [], "error": "number", "lineless": template.declares_lines})
+                continue
+            names = list(made)
+            odd = list(validate.unknown(names, extra=template.options.extra_fields))
+            lacking = [n for n in dict.fromkeys(template.required) if n not in made]
+            error = "strict_fields" if odd and template.options.strict_fields else "missing" if lacking else None
+            out.append({
+                "json": python_dialect.as_json(made), "names": names, "missing": lacking, "unknown": odd, "error": error,
+                "warnings": python_dialect.warnings(made, template), "lineless": python_dialect.lineless(made, template),
+            })
+        return pa.array(out, kind)
+
+    nothing = F.lit(None).cast("array<struct<page:int,x0:double,y0:double,x1:double,y1:double,text:string>>")
+    return run(text, which, nothing if boxes is None else boxes)
 
-        return texts.map(one)
 
-    # Only this template's documents are run; the others reach the function as null.
-    return run(F.when(matching.matches(text, template), text))
+def _from_python(name: Column, found: Column) -> Column:
+    return F.struct(
+        name.alias("template_name"), F.try_parse_json(found["json"]).alias("record"), found["names"].alias("names"), found["missing"].alias("missing"),
+        found["unknown"].alias("unknown"), found["error"].alias("error"), found["lineless"].alias("lineless"), found["warnings"].alias("warnings"),
+    )
 
 
-def _python_record(template: Template, json: Column) -> Column:
-    made = F.try_parse_json(json)
-    names = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
-    every = [*[f.name for f in template.fields], *[n for t in template.tables for n in re.compile(t.body).groupindex]]
-    lined = F.lit(False)
-    for f in template.fields:
-        if isinstance(f, LinesField):
-            lined = lined | F.coalesce(F.get_json_object(json, f"$.{f.name}[0]").isNotNull(), F.lit(False))
-    return _finished(template, made, names, json.isNull(), (F.lit(template.declares_lines) & ~lined), F.array().cast("array<string>"), every)
+#: From so many templates on the Python dialect extracts all: planning takes seconds for each template that is compiled.
+MANY_TEMPLATES = 12
 
 
-def extract(docs: DataFrame, templates: Sequence[Template], text_column: str = "text") -> DataFrame:
+def goes_python(template: Template, engine: str, n: int) -> bool:
+    """Whether a template of ``n`` is left to the Python dialect; own parsers need the native plan."""
+    own = any(isinstance(f, CustomField) for f in template.fields)
+    if own and not template.native:
+        raise TemplateError(f"{template.name}: its patterns need the Python dialect, in which own parsers can't run")
+    return not own and (not template.native or engine == "python" or engine == "auto" and n >= MANY_TEMPLATES)
+
+
+def extract(docs: DataFrame, templates: Sequence[Template], text_column: str = "text", engine: str = "auto") -> DataFrame:
     """Every document with its template's record, in one scan and without a shuffle.
 
     Adds ``template_name``, ``record`` (VARIANT), ``names``, ``missing``, ``unknown``, ``error``
     (no_template, number, strict_fields, missing or null), ``lineless`` and ``warnings``. The record
-    is null where there is an error.
+    is null where there is an error. Without templates every document has none.
+
+    ``engine``: "native" compiles each template to expressions and leaves those that have no equal to
+    the Python dialect, "python" leaves it all, "auto" those and all sets of MANY_TEMPLATES and more.
+    Both give the same records, but that Python's hold dates as text.
     """
+    if engine not in ("auto", "native", "python"):
+        raise ValueError(f"unknown engine {engine!r}")
     order = by_priority(templates)
     matched = matching.match(docs, order, text_column)
+    boxes = F.col("boxes") if "boxes" in docs.columns else None
+    text, index = F.col(text_column), F.col("template_index")
+    python = {k: t for k, t in enumerate(order) if goes_python(t, engine, len(order))}
+    if python:
+        matched = computed(matched, _by_python(F.when(index.isin(list(python)), text), index, python, boxes), "__python")
     chosen = None
     for k, t in enumerate(order):
-        needs = not t.native or t.options.remove_accents
+        if k in python:
+            continue
+        needs = t.options.remove_accents
         if needs:
-            matched = _staged(matched, t, F.col(text_column), f"__staged{k}")
-        one = record(t, F.col(text_column), F.col(f"__staged{k}") if needs else None, F.col("boxes") if "boxes" in docs.columns else None)
-        chosen = F.when(F.col("template_index") == k, one) if chosen is None else chosen.when(F.col("template_index") == k, one)
+            matched = _staged(matched, t, text, f"__staged{k}")
+        one = record(t, text, F.col(f"__staged{k}") if needs else None, boxes)
+        chosen = F.when(index == k, one) if chosen is None else chosen.when(index == k, one)
+    if python:
+        names = F.create_map(*[F.lit(x) for k, t in python.items() for x in (k, t.name)])
+        by_name = _from_python(F.try_element_at(names, index), F.col("__python"))
+        chosen = F.when(index.isin(list(python)), by_name) if chosen is None else chosen.when(index.isin(list(python)), by_name)
     if chosen is None:
-        raise ValueError("no templates")
+        nothing = "struct<template_name:string,record:variant,names:array<string>,missing:array<string>,unknown:array<string>,error:string,lineless:boolean,warnings:array<string>>"
+        chosen = F.lit(None).cast(nothing)
     out = computed(matched, chosen, "__found").select(*docs.columns, "__found.*")
     error = F.when(F.col("template_name").isNull(), "no_template").otherwise(F.col("error"))
     out = out.withColumn("error", error).withColumn("record", F.when(F.col("error").isNull(), F.col("record")))
@@ -287,5 +334,5 @@ class Extractor:
         """Adds a folder's templates; those that were there come first among equal priorities."""
         self.templates += read_templates(folder)
 
-    def extract(self, docs: DataFrame, text_column: str = "text") -> DataFrame:
-        return extract(docs, self.templates, text_column)
+    def extract(self, docs: DataFrame, text_column: str = "text", engine: str = "auto") -> DataFrame:
+        return extract(docs, self.templates, text_column, engine)

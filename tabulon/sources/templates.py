@@ -128,9 +128,9 @@ class Template:
                 yield from f.patterns
             elif isinstance(f, LinesField):
                 for r in f.rules:
-                    yield from (r.start, r.end, *r.line, *r.first_line, *r.last_line, *r.skip_line)
+                    yield from (r.start, r.end, r.line_separator, *r.line, *r.first_line, *r.last_line, *r.skip_line)
         for t in self.tables:
-            yield from (t.start, t.end, t.body)
+            yield from (t.start, t.end, t.body, t.line_separator)
 
     @property
     def native(self) -> bool:
@@ -177,7 +177,7 @@ def _check(pattern: str, zero_width: bool = True) -> str:
     except re.error as error:
         raise TemplateError(f"{pattern!r}: {error}") from error
     if not zero_width and compiled.fullmatch(""):
-        raise TemplateError(f"{pattern!r} may match nothing, so blocks would never end")
+        raise TemplateError(f"{pattern!r} may match nothing, so a text would never end")
     return pattern
 
 
@@ -193,7 +193,7 @@ def _line_rule(settings: Mapping[str, Any], name: str, flat: bool) -> LineRule:
     return LineRule(
         start=_check(settings["start"], zero_width=False), end=_check(settings["end"]), end_match=settings.get("end_match", "first"),
         types=tuple((settings.get("types") or {}).items()), replace=() if flat else _line_replacements(settings.get("replace")),
-        line_separator="\n" if flat else str(settings.get("line_separator", "\n")).replace(r"\n", "\n"), **several,
+        line_separator="\n" if flat else _check(str(settings.get("line_separator", "\n")), zero_width=False), **several,
     )
 
 
@@ -246,7 +246,7 @@ def _table(settings: Mapping[str, Any], name: str) -> TableRule:
             types[column] = spec["type"]
         if spec.get("group"):
             groups[column] = spec["group"]
-    return TableRule(settings["start"], settings["end"], settings["body"], str(settings.get("line_separator", "\n")).replace(r"\n", "\n"), tuple(types.items()), tuple(groups.items()))
+    return TableRule(settings["start"], settings["end"], settings["body"], _check(str(settings.get("line_separator", "\n")), zero_width=False), tuple(types.items()), tuple(groups.items()))
 
 
 def make_template(raw: Mapping[str, Any], name: str | None = None) -> Template:

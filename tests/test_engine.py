@@ -202,3 +202,92 @@ def test_template_grammar(tmp_path, caplog):
     with pytest.raises(ValueError, match="a.yml"):
         named(found, "zzz")
     assert not make_template({"keywords": "k", "fields": {"l": {"parser": "lines", "start": "^S", "end": "E", "line": "(?P<a>x)"}}}).native
+
+
+def both_ways(spark, template, texts, boxes=None):
+    """Rows of the native plan and of the Python dialect, without what is null and with dates as text."""
+
+    def plain(value):
+        if isinstance(value, dict):
+            return {k: plain(v) for k, v in value.items() if v is not None}
+        return [plain(v) for v in value] if isinstance(value, list) else value
+
+    shape = "doc_id int, text string" + (", boxes array<struct<page:int,x0:double,y0:double,x1:double,y1:double,text:string>>" if boxes else "")
+    frame = spark.createDataFrame([(k, t, *([boxes] if boxes else [])) for k, t in enumerate(texts)], shape)
+    out = []
+    for engine in ("native", "python"):
+        rows = extract(frame, [template], engine=engine).withColumn("record", F.to_json("record")).orderBy("doc_id").collect()
+        known = lambda r: r.error != "number"  # noqa: E731 - where a number fails, nothing else is promised
+        out.append([(r.error, sorted(r.missing or []) if known(r) else [], sorted(r.unknown or []) if known(r) else [], r.lineless if known(r) else None, list(r.warnings or []) if known(r) else [], sorted(r.names or []) if known(r) else [], plain(json.loads(r.record)) if r.record else None) for r in rows])
+    return out
+
+
+ITEM = r"\s*(?P<qty>\d+) (?P<uom>\S+) (?P<description>\w+)(?: (?P<name>[A-Z]\w+))? (?P<unit_price>[\d.x]+) (?P<price_subtotal>[\d.]+)"
+ENRICHED = {
+    "keywords": "Shop", "issuer": "Shop", "required_fields": ["issuer"], "options": {"languages": ["fr"]},
+    "fields": {
+        "date": r"Le (.+)", "amount": {"parser": "regex", "regex": r"Total (\S+)", "type": "float"}, "amount_tax": {"parser": "regex", "regex": r"Tax total (\S+)", "type": "float"},
+        "lines": {"parser": "lines", "rules": [{"start": "ROWS", "end": "END", "line_separator": r"\n\s*\n|;", "line": [f"^{ITEM} code (?P<line_tax_code>\\w)$", f"{ITEM} at (?P<vat_rate>\\d+)$", f"^{ITEM}$", r"^note (?P<line_note>.+)"], "types": {"qty": "int", "unit_price": "float", "price_subtotal": "float", "vat_rate": "float"}}]},
+        "tax_lines": {"parser": "lines", "start": "TAXES", "end": "END", "line": [r"(?P<line_tax_code>\w) (?P<tax_percent>[\d.]+)% of (?P<price_subtotal>[\d.]+)$", r"(?P<line_tax_code>\w) (?P<tax_percent>[\d.]+)% of (?P<price_subtotal>[\d.]+) is (?P<line_tax_amount>[\d.]+)$"], "types": {"tax_percent": "float", "price_subtotal": "float", "line_tax_amount": "float"}},
+    },
+}
+
+
+def test_both_engines_give_the_same_records(spark):
+    """Aliases, unit codes, tax by code and by the only rate, computed tax, the tax total, separators as patterns, months in French."""
+    r = random.Random(12)
+    template = make_template(ENRICHED, "shop.yml")
+    assert template.native
+    texts = []
+    for _ in range(150):
+        rows = [f"{r.randint(1, 9)} {r.choice(['kg', 'STK.', 'foo'])} thing{r.choice(['', ' Named'])} {r.choice(['1.5', '2', 'x.1'])} {r.randint(1, 900) / 8}{r.choice(['', ' code A', ' code B'])}{r.choice(['', '', ' at 6'])}" for _ in range(r.randint(0, 4))]
+        taxes = [f"{c} {p}% of {r.randint(0, 300)}{r.choice(['', ' is 12.5'])}" for c in "AB" for p in r.sample([0, 9, 21], r.randint(0, 2))]
+        texts.append(f"Shop\nLe {r.choice(['5 mars 2024', '1er juin 2023', 'hier'])}\nTotal {r.choice(['12.50', 'many', '7'])}\nTax total {r.choice(['3.00', '12.50'])}\nROWS\n" + r.choice(["\n\n", "\n  \n", ";"]).join(rows) + "\nEND\nTAXES\n" + "\n".join(taxes) + "\nEND\n")
+    native, python = both_ways(spark, template, [*texts, "Shop", "other", None])
+    assert native == python
+    made = [x for *_, x in native if x]
+    assert len({e for e, *_ in native}) >= 3 and any("tax_total" in w for *_, w, _, _ in native)
+    rows = [row for x in made for row in x.get("lines", [])]
+    assert {"name", "description", "unece_code", "line_tax_percent", "line_tax_amount", "price_unit"} <= {k for row in rows for k in row}
+
+
+def test_both_engines_see_areas(spark):
+    words = [(1, 10.0, 10.0, 40.0, 20.0, "Total"), (1, 50.0, 11.0, 80.0, 20.0, "12"), (1, 10.0, 300.0, 80.0, 310.0, "Total"), (1, 90.0, 300.0, 95.0, 310.0, "99"), (2, 10.0, 10.0, 20.0, 20.0, "Total")]
+    area = {"f": 1, "l": 1, "r": 72, "x": 0, "y": 0, "W": 100, "H": 100}
+    template = make_template({"keywords": "k", "issuer": "k", "required_fields": ["issuer"], "fields": {"total": {"parser": "regex", "regex": r"Total (\d+)", "area": area}}})
+    native, python = both_ways(spark, template, ["k Total 99"], words)
+    assert native == python and native[0][-1]["total"] == "12"
+
+
+def test_the_python_way_takes_no_field_from_a_template(spark):
+    """One pattern that only Python reads, and the template keeps its names, units and taxes."""
+    raw = {**ENRICHED, "fields": {**ENRICHED["fields"], "twice": {"parser": "regex", "regex": r"(S)h?\1"}}}
+    assert not make_template(raw).native
+    text = "Shop\nLe 5 mars 2024\nTotal 1\nROWS\n2 kg thing 1.5 10.0\nEND\nTAXES\nA 21% of 10\nEND\n"
+    row, made = record(spark, make_template(raw, "x"), text)
+    assert made["lines"][0]["line_tax_amount"] == 2.1 and made["lines"][0]["unece_code"] == "KGM" and made["date"].startswith("2024-03-05") and made["tax_lines"][0]["line_tax_amount"] == 2.1
+    from tabulon.plans.engine import goes_python
+    from tabulon.sources import templates
+
+    templates.register_parser("own", lambda text, settings, options: text)
+    try:
+        with pytest.raises(TemplateError):
+            goes_python(make_template({**raw, "fields": {**raw["fields"], "z": {"parser": "own"}}}), "auto", 1)
+    finally:
+        del templates.PARSERS["own"]
+
+
+def test_many_templates_plan_quickly(spark):
+    import time
+
+    every = [make_template({**RAW, "keywords": [f"Acme{k} ", "Total"], "issuer": f"Acme{k}"}, f"{k:03}.yml") for k in range(200)]
+    frame = spark.createDataFrame([(k, TEXT.replace("Acme", f"Acme{k}", 1)) for k in range(0, 220, 3)], "doc_id int, text string")
+    began = time.time()
+    found = extract(frame, every)
+    rows = found.withColumn("record", F.to_json("record")).collect()
+    assert time.time() - began < 60
+    assert all((r.template_name, r.error) == ((f"{r.doc_id:03}.yml", None) if r.doc_id < 200 else (None, "no_template")) for r in rows)
+    assert all(json.loads(r.record)["amount"] == 1212.63 for r in rows if r.record)
+    with pytest.raises(ValueError):
+        extract(frame, every, engine="other")
+    assert extract(frame, []).where("error = 'no_template' and record is null").count() == len(rows)

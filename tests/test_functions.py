@@ -50,11 +50,41 @@ def test_dates(spark):
     assert column(spark, ["Tue, 5 Mar 2024 10:00", "March", None], dates.parse_date_fuzzy) == [datetime(2024, 3, 5, 10), None, None]
 
 
-def test_every_general_format_has_its_shape(spark):
+GENERAL = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M.d.yyyy", "d.M.yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "d/M/yy", "d-MMM-yyyy", "EEEE, d MMMM yyyy", "yyyyMMdd", "dd.MM.yy H:m")
+
+
+def test_general_forms_need_no_format(spark):
     day = datetime(2021, 11, 23, 4, 5, 6)
-    for pattern in dates.GENERAL:
+    for pattern in GENERAL:
         shown = one(spark, F.date_format(F.lit(day), pattern))
-        assert one(spark, dates._try(F.lit(shown), pattern)) is not None, pattern
+        found = one(spark, dates.parse_date(F.lit(shown)))
+        assert found is not None and found.date() == day.date() and found == dates.read_date(shown), pattern
+
+
+def test_months_in_words(spark):
+    values = {
+        "5. März 2024": (2024, 3, 5), "5 mars 2024": (2024, 3, 5), "1er août 2023": (2023, 8, 1), "12 de febrero de 2024": (2024, 2, 12), "3 mei 2024": (2024, 5, 3), "24 grudnia 2022": (2022, 12, 24),
+        "Montag, 5. Mär. 2024": (2024, 3, 5), "5th of March, 2024": (2024, 3, 5), "March 5th 2024": (2024, 3, 5), "05-JUN-24": (2024, 6, 5), "lunes 5 de agosto de 2024": (2024, 8, 5), "3 maggio 1999": (1999, 5, 3), "20240305": (2024, 3, 5),
+        "03/04/24": (2024, 3, 4), "31/12/99": (1999, 12, 31), "30 février 2024": None, "5 Foo 2024": None, "March 2024": None, "99999999": None, "5": None,
+    }
+    want = [None if v is None else datetime(*v) for v in values.values()]
+    assert column(spark, list(values), dates.parse_date) == want
+    assert [dates.read_date(v) for v in values] == want
+    assert one(spark, dates.parse_date(F.lit("5 mars 2024"), languages=["de"])) is None
+    assert one(spark, dates.parse_date(F.lit("5 März 2024"), languages=["de"])) == datetime(2024, 3, 5)
+
+
+def test_both_engines_read_the_same_dates(spark):
+    import random
+
+    r = random.Random(6)
+    parts = ["1", "05", "31", "12", "2024", "24", "99", "-", "/", ".", " ", ", ", " de ", "mars", "März", "Mar", "may", "décembre", "th", "er", "Monday ", "x", "T", "10:30", ":59", "1º", "İ"]
+    values = ["".join(r.choices(parts, k=r.randint(1, 7))) for _ in range(1500)]
+    values += [f"{r.randint(0, 33)}{s}{r.choice(['mars', 'Juni', 'Feb', 'dic', 'sept.', '7', '13'])}{s}{r.choice(['2024', '24', '70', '1'])}" for s in ("-", "/", ".", " ", ". ") for _ in range(120)]
+    formats, languages = ("%d.%m.%Y", "%y-%m-%d"), ("fr", "de")
+    got = column(spark, values, lambda v: dates.parse_date(v, formats, languages=languages))
+    assert got == [dates.read_date(v, formats, languages) for v in values]
+    assert 100 < sum(x is not None for x in got) < 1500
 
 
 def test_identifiers(spark):
