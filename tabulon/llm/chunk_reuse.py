@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,10 +16,12 @@ from tabulon.llm import kernels as K
 
 #: A cut falls on average after so many bytes, a power of two, and never within so many of the last.
 AVERAGE, LEAST = 1024, 128
-#: Bytes that a task gathers before it sends them on.
-SENT_BYTES = 8 << 20
-#: Digests of shared chunks that are broadcast at most (8 bytes each); beyond it every text is taken to have some.
-SHARED_LIMIT = 4_000_000
+#: Bytes of tokens that a task gathers before it sends them on.
+SENT_BYTES = 4 << 20
+#: Bits (as a power of two) of the filter of chunks that occur again: 16 MB, whatever the input.
+FILTER_BITS = 27
+#: Chunks that a task remembers to have sent.
+REMEMBERED = 200_000
 
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -132,57 +133,36 @@ def join(encoder: bpe.Encoder, chunks: list[Chunk]) -> np.ndarray:
     return np.concatenate(out)
 
 
-class _Outbox:
-    """Packs what goes to each partition into one compressed row."""
+def _filter(tallied: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the digests of chunks that occur again. What doesn't may have its bit set too; then a text goes by its chunks for nothing."""
+    again = tallied.where("n > 1").select(F.shiftrightunsigned("digest", 64 - bits + 6).alias("word"), F.shiftrightunsigned("digest", 64 - bits).bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = again.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()  # at most 2 ** (bits - 6) rows
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
 
-    def __init__(self, partitions: int) -> None:
-        import zstandard
 
-        self._pack = zstandard.ZstdCompressor(level=1).compress
-        self.to: list[list] = [[] for _ in range(partitions)]
-        self.size = 0
-
-    def add(self, partition: int, item: tuple, size: int) -> None:
-        self.to[partition].append(item)
-        self.size += size + 64
-
-    def send(self) -> Iterator[pa.RecordBatch]:
-        full = [k for k, items in enumerate(self.to) if items]
-        for k in full:
-            blob = self._pack(pickle.dumps(self.to[k], protocol=5))
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=["target", "blob"])
-            self.to[k] = []
-        self.size = 0
-
-
-def _inbox(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for blob in batch.column(1):
-            yield pickle.loads(unpack(blob.as_py()))
-
-
-def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY, id_column: str = "doc_id", text_column: str = "text", filter_bits: int = FILTER_BITS, work: shared.Workspace | None = None) -> DataFrame:
     """Token ids of every document; a chunk that many documents share is encoded once.
 
-    A first pass counts chunks by 64-bit digest. Texts all of whose chunks occur once are encoded
-    where they lie. The others' chunks go by their content's 128-bit digest to one task, a text once
-    from each task that has it; there each distinct one is encoded, and its tokens go to the tasks
-    that join documents. Both exchanges carry compressed packs, not rows. The digests that occur
-    again are broadcast up to SHARED_LIMIT; beyond it every text goes by its chunks.
+    A first pass counts chunks by 64-bit digest and sets a bit for each that occurs again in a filter
+    of 2 ** ``filter_bits`` bits, of one size for any input. Texts with no such chunk are encoded
+    where they lie. The others' chunks are joined by their content's 128-bit digest to the tokens of
+    each distinct one, encoded once, and a document's chunks are then joined to its text's tokens.
+    The joins are Spark's own, so partitions spill and hot chunks are split as adaptive execution
+    sees fit. A fuller filter sends more texts by their chunks, with the same result.
 
     Result: the id column, ``n_tokens``, ``tokens`` (little-endian unsigned integers, 16-bit if the
     vocabulary fits, else 32-bit) and ``n_bytes`` (of the decoded text); a row for every input row.
     Null texts give null in all three, empty ones no tokens. Null ids and repeated rows are kept.
-    Other columns are ignored.
+    Other columns are ignored. What is known of one document's chunks is held in memory at once.
     """
     import xxhash  # noqa: F401 - fails here rather than in the tasks
+    from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[id_column].dataType
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = T.StructType([T.StructField("target", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+    id_type = to_arrow_type(kind)
+    work = work or shared.Workspace(spark, "chunks")
     schema = T.StructType([T.StructField(id_column, kind), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("n_bytes", T.LongType())])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,19 +173,13 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = bpe.DEFAULT_V
 
     source = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     tallied = source.select("text").mapInArrow(tally, "digest bigint, n bigint").groupBy("digest").agg(F.sum("n").alias("n"))
-    again = shared.Workspace(spark, "chunks").table(tallied.where("n > 1").select("digest"), "again")
-    known_again = None
-    if again.count() <= SHARED_LIMIT:
-        known_again = spark.sparkContext.broadcast(np.sort(again.toArrow()["digest"].to_numpy().view(np.uint64)))
+    again = spark.sparkContext.broadcast(_filter(tallied, filter_bits))
 
     def by_chunks(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of a slice's chunks, chunks before each row, and whether a row goes by its chunks."""
         starts, first, digests = _contents(part)
-        if known_again is None:
-            return starts, first, first[1:] > first[:-1]
-        every = known_again.value
-        at = np.minimum(np.searchsorted(every, digests), max(0, len(every) - 1))
-        hit = np.concatenate([[0], np.cumsum(every[at] == digests if len(every) else np.zeros(len(digests), bool))])
+        word, bit = digests >> np.uint64(64 - filter_bits + 6), digests >> np.uint64(64 - filter_bits) & np.uint64(63)
+        hit = np.concatenate([[0], np.cumsum((again.value[word] >> bit & np.uint64(1)).astype(np.int64))])
         return starts, first, hit[first[1:]] > hit[first[:-1]]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,110 +197,84 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = bpe.DEFAULT_V
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.diff(offsets), mask=null), tokens, pa.array(np.diff(sizes), mask=null)], names=schema.names)
                 before += len(part)
 
+    pieces = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("digests", T.ArrayType(T.BinaryType())), T.StructField("digest", T.BinaryType()), T.StructField("content", T.StringType())])
+
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text that goes by its chunks, with their digests, and one for each chunk that the task hasn't sent."""
+        from pyspark import TaskContext
         from xxhash import xxh3_128_digest as digest
 
-        box, seen = _Outbox(partitions), set()
+        row, seen = TaskContext.get().partitionId() << 40, set()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             before = 0
             for part in K.slices(K.strings(batch.column(1))):
                 data, offsets = K.utf8(part)
-                raw, bounds = data.tobytes(), offsets.tolist()
+                raw = data.tobytes()
                 starts, first, chosen = by_chunks(part)
                 edges, first = [*starts.tolist(), len(raw)], first.tolist()
-                for k in np.flatnonzero(chosen).tolist():
-                    row = before + k
-                    key = digest(digest(raw[bounds[k] : bounds[k + 1]]) + repr(ids[row]).encode())
-                    box.add(int.from_bytes(key[:8], "little") % partitions, ("doc", key, ids[row], first[k + 1] - first[k]), 32)
-                    for place, c in enumerate(range(first[k], first[k + 1])):
+                rows, lists, new = np.flatnonzero(chosen), [], {}
+                for k in rows.tolist():
+                    own = []
+                    for c in range(first[k], first[k + 1]):
                         content = raw[edges[c] : edges[c + 1]]
                         of = digest(content)
-                        text = None if of in seen else content
-                        seen.add(of)
-                        box.add(int.from_bytes(of[:8], "little") % partitions, (of, text, key, place), len(text or b""))
-                before += len(part)
-                if box.size > SENT_BYTES:
-                    yield from box.send()
-        yield from box.send()
+                        own.append(of)
+                        if of not in seen:
+                            new[of] = content
+                            seen.add(of)
+                    lists.append(own)
+                if len(seen) > REMEMBERED:
+                    seen = set()
+                n, m = len(rows), len(new)
+                ids = pa.concat_arrays([batch.column(0).take(pa.array(before + rows)).cast(id_type), pa.nulls(m, id_type)])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([*range(row, row + n), *[None] * m], pa.int64()), ids, pa.array([*lists, *[None] * m], pa.list_(pa.binary())),
+                    pa.array([*[None] * n, *new], pa.binary()), pa.array([*[None] * n, *new.values()], pa.binary()).cast(pa.string()),
+                ], names=pieces.names)
+                row, before = row + n, before + len(part)
 
     def encode_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, box = bpe.encoder(vocabulary), _Outbox(partitions)
-        known: dict[bytes, tuple[bytes, int, int]] = {}
-        waiting: list[tuple] = []
-
-        def pass_on(of: bytes, key: bytes, place: int) -> None:
-            ids, tokens, size = known[of]
-            box.add(int.from_bytes(key[:8], "little") % partitions, (key, place, ids, tokens, size), len(ids))
-
-        for items in _inbox(batches):
-            new = {}
-            for item in items:
-                if item[0] != "doc" and item[1] is not None and item[0] not in known:
-                    new[item[0]] = item[1]
-            if new:
-                texts = pa.array(list(new.values()), pa.binary()).cast(pa.string())
-                ids, offsets, tail_tokens, tail_bytes = encoder.encode_open(texts)
-                raw, width = ids.tobytes(), encoder.dtype.itemsize
-                edges = (offsets * width).tolist()
-                for k, (of, a, b) in enumerate(zip(new, tail_tokens.tolist(), tail_bytes.tolist())):
-                    known[of] = (raw[edges[k] : edges[k + 1]], a, b)
-            for item in items:
-                if item[0] == "doc":
-                    box.add(int.from_bytes(item[1][:8], "little") % partitions, item, 32)
-                elif item[0] in known:
-                    pass_on(item[0], item[2], item[3])
-                else:
-                    waiting.append((item[0], item[2], item[3]))  # its text comes in another pack
-                if box.size > SENT_BYTES:
-                    yield from box.send()
-        for item in waiting:
-            pass_on(*item)
-            if box.size > SENT_BYTES:
-                yield from box.send()
-        yield from box.send()
+        encoder = bpe.encoder(vocabulary)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, offsets, tail_tokens, tail_bytes = encoder.encode_open(K.strings(batch.column(1)))
+            raw, edges = ids.tobytes(), (offsets * encoder.dtype.itemsize).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[a:b] for a, b in zip(edges[:-1], edges[1:])], pa.binary()), pa.array(tail_tokens), pa.array(tail_bytes)], names=["digest", "tokens", "tail_tokens", "tail_bytes"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.encoder(vocabulary)
-        docs_of: dict[bytes, list] = {}
-        size: dict[bytes, int] = {}
-        parts: dict[bytes, dict[int, Chunk]] = {}
-        for items in _inbox(batches):
-            for item in items:
-                if item[0] == "doc":
-                    docs_of.setdefault(item[1], []).append(item[2])
-                    size[item[1]] = item[3]
-                else:
-                    parts.setdefault(item[0], {})[item[1]] = (np.frombuffer(item[2], encoder.dtype), item[3], item[4])
-        rows: list[list] = [[], [], [], []]
-
-        def batch() -> pa.RecordBatch:
-            kinds = [None, pa.int64(), pa.binary(), pa.int64()]
-            arrays = [pa.array(c, t) if t else pa.array(c, id_type) for c, t in zip(rows, kinds)]
-            for c in rows:
-                c.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-        waiting = 0
-        for key, ids in docs_of.items():
-            own = parts.pop(key)
-            joined = join(encoder, [own[k] for k in range(size[key])])
-            tokens, length = joined.tobytes(), int(encoder.token_lengths[joined].sum())
-            for one in ids:
-                for c, v in zip(rows, (one, len(joined), tokens, length)):
-                    c.append(v)
-                waiting += len(tokens)
-            if waiting > SENT_BYTES // 4:
-                yield batch()
-                waiting = 0
-        yield batch()
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(kind)
-    chunks = source.mapInArrow(chunk, packed).repartitionById(partitions, "target")
-    joined = chunks.mapInArrow(encode_once, packed).repartitionById(partitions, "target").mapInArrow(assemble, schema)
-    return source.mapInArrow(whole, schema).unionAll(joined)
+        for batch in batches:
+            every, ends = batch.column(1).values, batch.column(1).offsets.to_pylist()
+            place, tails, sizes = every.field("place").to_numpy(), every.field("tail_tokens").to_pylist(), every.field("tail_bytes").to_pylist()
+            tokens = every.field("tokens")
+            rows: list[list] = [[], [], []]
+            begin = size = 0
+
+            def done(stop: int, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                columns = [pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.binary(), pa.int64()))]
+                for c in rows:
+                    c.clear()
+                return pa.RecordBatch.from_arrays([batch.column(0).slice(begin, stop - begin), *columns], names=schema.names)
+
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                order = (a + np.argsort(place[a:b])).tolist()
+                joined = join(encoder, [(np.frombuffer(tokens[c].as_py(), encoder.dtype), tails[c], sizes[c]) for c in order])
+                rows[0].append(len(joined))
+                rows[1].append(joined.tobytes())
+                rows[2].append(int(encoder.token_lengths[joined].sum()))
+                size += len(rows[1][-1])
+                if size > SENT_BYTES:
+                    yield done(k + 1)
+                    begin, size = k + 1, 0
+            yield done(batch.num_rows)
+
+    sent = work.table(source.mapInArrow(chunk, pieces), "pieces")
+    once = sent.where("digest is not null").groupBy("digest").agg(F.first("content").alias("content"))
+    encoded = once.mapInArrow(encode_once, "digest binary, tokens binary, tail_tokens bigint, tail_bytes bigint")
+    refs = sent.where("row is not null").select("row", "id", F.posexplode("digests").alias("place", "digest"))
+    parts = refs.join(encoded, "digest").groupBy("row").agg(F.first("id").alias("id"), F.collect_list(F.struct("place", "tokens", "tail_tokens", "tail_bytes")).alias("parts"))
+    return source.mapInArrow(whole, schema).unionAll(parts.select("id", "parts").mapInArrow(assemble, schema))
 
 
 def decode(encoded: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY, id_column: str = "doc_id") -> DataFrame:
@@ -351,4 +299,5 @@ def decode(encoded: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY, id_colu
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document; nulls, empty texts and repeated rows as :func:`encode` says."""
     return encode(spark, shared.load(spark, sf_dir, "documents"))

@@ -58,10 +58,10 @@ def _expected(frame):
     return Counter((r.doc_id, None if r.text is None else tuple(encoder.plain(r.text))) for r in frame.select("doc_id", "text").collect())
 
 
-@pytest.mark.parametrize("limit", [chunk_reuse.SHARED_LIMIT, -1])
-def test_chunk_reuse_is_exact(spark, awkward, monkeypatch, limit):
-    monkeypatch.setattr(chunk_reuse, "SHARED_LIMIT", limit)
-    made = chunk_reuse.encode(spark, awkward)
+@pytest.mark.parametrize("bits", [chunk_reuse.FILTER_BITS, 7])
+def test_chunk_reuse_is_exact(spark, awkward, bits):
+    """With the filter nearly empty and with one so small that nearly all texts go by their chunks."""
+    made = chunk_reuse.encode(spark, awkward, filter_bits=bits)
     rows = made.collect()
     got = Counter((r.doc_id, None if r.tokens is None else tuple(np.frombuffer(bytes(r.tokens), "<u2").tolist())) for r in rows)
     assert got == _expected(awkward)
@@ -75,6 +75,30 @@ def test_chunk_reuse_of_documents(spark, documents):
     assert got == _expected(documents)
 
 
+def test_a_chunk_in_all_documents(spark):
+    """One long passage in every document, and more chunks than a task remembers."""
+    from tests.llm.conftest import words
+
+    passage = words(5, 900)
+    rows = [(k, f"{words(k, k % 7)} {passage} {words(-k, 300)}") for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    before, chunk_reuse.REMEMBERED = chunk_reuse.REMEMBERED, 5
+    try:
+        got = Counter((r.doc_id, tuple(np.frombuffer(bytes(r.tokens), "<u2").tolist())) for r in chunk_reuse.encode(spark, frame).collect())
+    finally:
+        chunk_reuse.REMEMBERED = before
+    assert got == _expected(frame)
+
+
+def test_filter_holds_what_occurs_again(spark):
+    digests = np.random.default_rng(0).integers(-(1 << 63), 1 << 63, 500)
+    frame = spark.createDataFrame([(int(d), 1 + k % 2) for k, d in enumerate(digests)], "digest bigint, n bigint")
+    words = chunk_reuse._filter(frame, 20)
+    own = digests.view(np.uint64)
+    bit = words[own >> np.uint64(50)] >> (own >> np.uint64(44) & np.uint64(63)) & np.uint64(1)
+    assert bit[1::2].all() and bit[::2].sum() < 5
+
+
 def test_token_files(spark, awkward):
     work = shared.Workspace(spark, "files")
     rows = token_files.write_token_files(spark, awkward, work=work).collect()
@@ -106,6 +130,29 @@ def test_token_counts_use_the_cache(spark, awkward, tmp_path):
     assert {r.n_tokens for r in token_counts.count_tokens(spark, awkward, planted).collect()} == {-7}
 
 
+def test_a_warm_cache_encodes_nothing(spark, documents, tmp_path, monkeypatch):
+    cache = f"{tmp_path}/cache"  # without a scheme
+    first = {(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(spark, documents, cache).collect()}
+    files = sorted(tmp_path.rglob("*.parquet"))
+    assert {(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(spark, documents, cache).collect()} == first
+    assert sorted(tmp_path.rglob("*.parquet")) == files
+    held = spark.read.parquet(cache)
+    assert held.count() == held.select("digest").distinct().count() == documents.select("text").distinct().count()
+
+
+def test_rows_in_another_order_at_the_second_scan(spark, documents, tmp_path):
+    """Places that don't hold are noticed, and what they left out is counted all the same."""
+    real = token_counts.F.monotonically_increasing_id
+    docs = documents.select("doc_id", "text").repartition(3, "doc_id")
+    try:
+        token_counts.F.monotonically_increasing_id = lambda: token_counts.F.floor(token_counts.F.rand() * (1 << 20)).cast("bigint")
+        rows = token_counts.count_tokens(spark, docs, f"file://{tmp_path}/odd").collect()
+    finally:
+        token_counts.F.monotonically_increasing_id = real
+    encoder = bpe.encoder()
+    assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((r.doc_id, len(encoder.plain(r.text.replace("\r\n", "\n").replace("\r", "\n").rstrip(" \t\n")))) for r in docs.collect())
+
+
 def test_empty_tables(spark, empty, tmp_path):
     assert token_files.write_token_files(spark, empty).count() == 0
     assert chunk_reuse.encode(spark, empty).count() == 0
