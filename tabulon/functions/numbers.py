@@ -25,7 +25,9 @@ def parse_number(value: Column, decimal: str = ".") -> Column:
     marks = F.length(value) - F.length(F.replace(value, F.lit(decimal), F.lit("")))
     bare = F.regexp_replace(F.replace(value, F.lit(thousands), F.lit("")), r"(?U)[\s']", "")
     point = F.replace(bare, F.lit(decimal), F.lit(".")) if decimal != "." else bare
-    return F.when(~value.rlike(r"[,.'\\s]"), to_double(value)).when(marks <= 1, to_double(point))
+    usual = value.rlike(rf"^[0-9]{{1,15}}(?:[{decimal}][0-9]{{1,15}})?$")  # what most cells are needs one look
+    quick = value if decimal == "." else F.replace(value, F.lit(decimal), F.lit("."))
+    return F.when(usual, quick.try_cast("double")).when(~value.rlike(r"[,.'\\s]"), to_double(value)).when(marks <= 1, to_double(point))
 
 
 def parse_integer(value: Column, decimal: str = ".") -> Column:

@@ -25,8 +25,9 @@ _WHITE = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680
 
 
 def strip(value: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.trim(value, F.lit(_WHITE))
+    """Without white space of any kind at either end; trimming by a list of signs is dear, so plain ends are looked at first."""
+    plain = F.ascii(value).between(33, 126) & F.ascii(F.right(value, F.lit(1))).between(33, 126)
+    return F.when(plain, value).otherwise(F.trim(value, F.lit(_WHITE)))
 
 
 def replace_all(value: Column, pairs: Sequence[tuple[str, str]]) -> Column:

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+import tempfile
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tabulon.operators import labels
 from tabulon.operators.candidates import _AMOUNT, _DATE
 from tabulon.operators.python_dialect import prepare
@@ -109,3 +114,83 @@ def rows_to_records(rows: list[list[str]], header: bool = True) -> list[dict[str
         return []
     names = [c.strip() or f"col_{k}" for k, c in enumerate(rows[0])] if header else [f"col_{k}" for k in range(len(rows[0]))]
     return [dict(zip(names, r)) for r in (rows[1:] if header else rows)]
+
+
+#: What a table detector may be told; other settings of a block are the template's own.
+DETECTOR_SETTINGS = frozenset(
+    "backend column_tol columns copy_text edge_tol flag_size flavor iterations joint_tol layout_kwargs line_scale line_tol pages parallel password "
+    "process_background resolution row_tol shift_text split_text strip_text suppress_stdout table_areas table_regions threshold_blocksize threshold_constant".split()
+)
+
+
+def detected_tables(files: DataFrame, blocks: Sequence[Mapping[str, Any]], id_column: str = "doc_id", content_column: str = "content") -> DataFrame:
+    """``field`` and ``records`` (VARIANT) of the tables that camelot sees in each PDF, a row for each block with rows.
+
+    A block says its ``field`` (lines), whether a table has a ``header`` (yes), which of the ``tables``
+    (all), and settings for the detector. A file that the detector fails on has none.
+    """
+    known = [(str(b.get("field", "lines")), bool(b.get("header", True)), b.get("tables", "all"), {k: v for k, v in b.items() if k in DETECTOR_SETTINGS}) for b in blocks]
+    kind = files.schema[id_column].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+
+        import camelot
+
+        for batch in batches:
+            at, fields, found = [], [], []
+            for k, content in enumerate(batch.column(1)):
+                with tempfile.NamedTemporaryFile(suffix=".pdf") as file:  # one document at a time
+                    file.write(content.as_py() or b"")
+                    file.flush()
+                    for field, header, which, settings in known:
+                        try:
+                            tables = list(camelot.read_pdf(file.name, **settings))
+                            chosen = tables if which == "all" else [tables[int(which)]]
+                        except Exception:  # noqa: BLE001 - a file that the detector can't read has no tables
+                            continue
+                        rows = [r for t in chosen for r in rows_to_records([[str(c).strip() for c in row] for row in t.data], header)]
+                        if rows:
+                            at.append(k)
+                            fields.append(field)
+                            found.append(json.dumps(rows, ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(fields, pa.string()), pa.array(found, pa.string())], names=[id_column, "field", "rows"])
+
+    made = files.select(id_column, content_column).mapInArrow(run, f"`{id_column}` {kind}, field string, rows string")
+    return made.select(id_column, "field", F.parse_json("rows").alias("records"))
+
+
+def detector_blocks(settings: Mapping[str, Any]) -> list[dict[str, Any]]:
+    """Settings exported from a table designer (``rules`` by page, and what holds for all) as blocks for :func:`detected_tables`.
+
+    Areas given as numbers become the detector's text; empty settings are left out.
+    """
+    pages = settings.get("rules", settings)
+    shared = {k: v for k, v in settings.items() if k != "rules" and k in DETECTOR_SETTINGS} if "rules" in settings else {}
+
+    def text(value: Any) -> Any:
+        if isinstance(value, (list, tuple)) and value and all(isinstance(x, (int, float)) for x in value):
+            return [",".join(f"{x:g}" for x in value)]
+        return [text(x)[0] if isinstance(x, (list, tuple)) else x for x in value] if isinstance(value, (list, tuple)) else value
+
+    return [{k: text(v) for k, v in block.items() if v not in (None, "", [], {})} for block in table_rules(pages, shared)]
+
+
+def review(template: Mapping[str, Any], text: str, ask: Callable[[str], str] = input) -> dict[str, Any]:
+    """Goes through a draft's fields: an empty answer keeps one, ``-`` drops it, anything else is its new pattern; a pattern that doesn't compile is asked for again."""
+    made = dict(template)
+    for name in list(template["fields"]):
+        while True:
+            answer = ask(f"{name} [{preview(text, made).get(name)}]: ").strip()
+            if not answer:
+                break
+            if answer == "-":
+                made = {**made, "fields": {k: v for k, v in made["fields"].items() if k != name}}
+                break
+            try:
+                re.compile(answer)
+            except re.error:
+                continue
+            made = with_regex(made, name, answer)
+            break
+    return made

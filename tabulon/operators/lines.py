@@ -71,6 +71,24 @@ def _row(line: Column, patterns: Sequence[str], columns: Sequence[str], before:
     return out
 
 
+def _lines(block: Column, rule: LineRule) -> Column:
+    """The block's lines that aren't blank and aren't skipped."""
+    every = F.split(block, rule.line_separator if rule.line_separator == "\n" else translate(rule.line_separator).java)
+    return F.filter(every, lambda l: (l != "") & (l != "\r") & (F.translate(l, "\r\n", "") != "") & ~_hit(l, rule.skip_line))
+
+
+def simple(rule: LineRule) -> bool:
+    """Every line that fits the only pattern is a row."""
+    return not rule.first_line and not rule.last_line and len(rule.line) == 1
+
+
+def cells(block: Column, rule: LineRule) -> Column:
+    """Rows of a simple rule's block as array<array<string>>, a cell for each group: one pass finds the lines that fit and takes them apart."""
+    p = translate(rule.line[0])
+    marked = F.transform(_lines(block, rule), lambda l: F.regexp_replace(l, whole_line(p), MATCHED + CELL.join(f"${n}" for _, n in p.names)))
+    return F.transform(F.filter(marked, lambda m: m.startswith(MATCHED)), lambda m: F.transform(F.split(F.substring(m, 2, 1 << 30), CELL), strip))
+
+
 def rows(block: Column, rule: LineRule) -> Column:
     """Rows of one block as array<struct> of strings; a cell whose pattern the row never met is null.
 
@@ -79,14 +97,11 @@ def rows(block: Column, rule: LineRule) -> Column:
     """
     columns = names(rule)
     shape = "struct<" + ",".join(f"`{c}`:string" for c in columns) + ">"
-    lines = F.filter(F.split(block, translate(rule.line_separator).java), lambda l: (F.translate(l, "\r\n", "") != "") & ~_hit(l, rule.skip_line))
+    lines = _lines(block, rule)
     if not rule.first_line and not rule.last_line:
-        if len(rule.line) == 1:  # one pass finds the lines that fit and takes them apart
-            p = translate(rule.line[0])
-            own = {c: k for k, (c, _) in enumerate(p.names)}
-            marked = F.transform(lines, lambda l: F.regexp_replace(l, whole_line(p), MATCHED + CELL.join(f"${n}" for _, n in p.names)))
-            found = F.transform(F.filter(marked, lambda m: m.startswith(MATCHED)), lambda m: F.split(F.substring(m, 2, 1 << 30), CELL))
-            return F.transform(found, lambda cells: F.struct(*[strip(cells[own[c]]).alias(c) for c in columns]).cast(shape))
+        if simple(rule):
+            own = {c: k for k, (c, _) in enumerate(translate(rule.line[0]).names)}
+            return F.transform(cells(block, rule), lambda row: F.struct(*[row[own[c]].alias(c) for c in columns]).cast(shape))
         return F.transform(F.filter(lines, lambda l: _hit(l, rule.line)), lambda l: _row(l, rule.line, columns, None).cast(shape))
     if not rule.first_line:
         return F.array().cast(f"array<{shape}>")
@@ -114,11 +129,12 @@ def _coerced(kind: str | None, options: Options):
 
 
 def _rows_of(rule: LineRule):
-    return lambda block: rows(block, rule)
+    return lambda block: cells(block, rule) if simple(rule) else rows(block, rule)
 
 
 def _typed(found: Column, rule: LineRule, columns: Sequence[str], options: Options, every: Sequence[str], kinds: dict[str, str]) -> Column:
     types, replace = dict(rule.types), dict(rule.replace)
+    own = {c: k for k, (c, _) in enumerate(translate(rule.line[0]).names)} if simple(rule) else None
 
     def one(row: Column) -> Column:
         cells = []
@@ -126,10 +142,12 @@ def _typed(found: Column, rule: LineRule, columns: Sequence[str], options: Optio
             if c not in columns:
                 cells.append(F.lit(None).cast(kinds[c]).alias(c))
                 continue
-            cell = row[c]
+            cell = row[c if own is None else own[c]]
             if c in replace:
-                cell = replace_all(cell, replace[c])
-            cells.append(let(cell, _coerced(types.get(c), options)).cast(kinds[c]).alias(c))
+                made = let(replace_all(cell, replace[c]), _coerced(types.get(c), options))
+            else:
+                made = coerce(cell, types.get(c), options)
+            cells.append(made.cast(kinds[c]).alias(c))
         return F.struct(*cells)
 
     return F.transform(found, one)

@@ -33,15 +33,16 @@ def column_type(name: str, rule: TableRule) -> str | None:
 
 
 def _cell(place: int, kind: str | None, options: Options):
-    return lambda row: let(strip(row[place]), lambda v: coerce(v, kind, options))
+    return lambda row: coerce(row[place], kind, options)
 
 
 def columns(text: Column, rule: TableRule, options: Options) -> dict[str, Column]:
     """Each named column's values in line order (array), or their group; null where no line fits."""
     p = translate(rule.body)
-    lines = F.filter(F.split(body(text, rule), translate(rule.line_separator).java), lambda l: strip(l) != "")
+    separator = rule.line_separator if rule.line_separator == "\n" else translate(rule.line_separator).java
+    lines = F.filter(F.split(body(text, rule), separator), lambda l: strip(l) != "")
     marked = F.transform(lines, lambda l: F.regexp_replace(l, whole_line(p), MATCHED + CELL.join(f"${n}" for _, n in p.names)))
-    rows = F.transform(F.filter(marked, lambda m: m.startswith(MATCHED)), lambda m: F.split(F.substring(m, 2, 1 << 30), CELL))
+    rows = F.transform(F.filter(marked, lambda m: m.startswith(MATCHED)), lambda m: F.transform(F.split(F.substring(m, 2, 1 << 30), CELL), strip))
     grouped = dict(rule.groups)
     out = {}
     for place, (name, _) in enumerate(p.names):

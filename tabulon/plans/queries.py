@@ -71,7 +71,8 @@ def extract_records(spark, sf_dir):
     text = F.when(which == 0, LAYOUTS["plain"]()).when(which == 1, LAYOUTS["nested"]()).when(which == 2, LAYOUTS["sections"]()).otherwise(LAYOUTS["tabular"]())
     printed = orders_with_items(spark, sf_dir).where(F.size("items") > 0).select(F.col("o_orderkey").alias("doc_id"), F.size("items").cast("bigint").alias("printed"), text.alias("text"))
     found = extract(printed, [template(x) for x in order]).where("error is null")
-    n = F.coalesce(F.json_array_length(F.get_json_object(F.to_json("record"), "$.lines")).cast("bigint"), F.json_array_length(F.get_json_object(F.to_json("record"), "$.part")).cast("bigint"), F.lit(1).cast("bigint"))
+    items = lambda path: F.size(F.try_variant_get("record", path, "array<variant>"))
+    n = F.coalesce(*[F.when(items(path) >= 0, items(path)) for path in ("$.lines", "$.part")], F.lit(1)).cast("bigint")
     return found.select("doc_id", F.lit("Tabulon Trading").alias("issuer"), F.try_variant_get("record", "$.amount", "double").alias("amount"), n.alias("n_lines"), "template_name")
 
 
@@ -300,9 +301,7 @@ def lineless(spark, sf_dir):
 def tables_columns(spark, sf_dir):
     rule = make_template({**TEMPLATES["tabular"], "tables": [{k: v for k, v in TEMPLATES["tabular"]["tables"][0].items() if k != "fields"}]}).tables[0]
     found = tables.columns(F.col("text"), rule, template("tabular").options)
-    zipped = F.arrays_zip(*[v.alias(k) for k, v in found.items()])
     rows = invoices(spark, sf_dir, "tabular").select("doc_id", *[v.alias(k) for k, v in found.items()]).select("doc_id", F.posexplode(F.arrays_zip("part", "date_shipped", "amount_line")).alias("pos", "row"))
-    del zipped
     return rows.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "row.part", F.date_format("row.date_shipped", "yyyy-MM-dd").alias("shipped"), "row.amount_line")
 
 
@@ -402,7 +401,7 @@ def cascade_best_reader(spark, sf_dir):
     both = printed.withColumn("run", F.explode(F.array(F.struct(F.lit(0).alias("reader_rank"), F.lit("quick").alias("reader"), spoilt.alias("text")), F.struct(F.lit(1).alias("reader_rank"), F.lit("slow").alias("reader"), F.col("text").alias("text"))))).select("doc_id", "run.*")
     made = make_template({**TEMPLATES["plain"], "keywords": ["Tabulon Trading", "ITEMS"]}, "plain.yml")
     best = cascade.cascade(both, [made])
-    n = F.coalesce(F.json_array_length(F.get_json_object(F.to_json("record"), "$.lines")), F.lit(0)).cast("bigint")
+    n = F.greatest(F.size(F.try_variant_get("record", "$.lines", "array<variant>")), F.lit(0)).cast("bigint")
     return best.select("doc_id", "reader_rank", n.alias("n_lines"))
 
 
@@ -490,14 +489,13 @@ def cand_amount_not_in_date(spark, sf_dir):
 
 @query(f"SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS day_due, {_SHEET_AMOUNT} AS amount, 'DEUTDEFF500' AS bic FROM orders")
 def suggest_fields(spark, sf_dir):
-    found = candidates.suggest(candidates.find(_sheet(spark, sf_dir)))
+    found = candidates.suggest_in(_sheet(spark, sf_dir))
     return found.select("doc_id", F.date_format("date", "yyyy-MM-dd").alias("day"), F.date_format("date_due", "yyyy-MM-dd").alias("day_due"), "amount", "bic")
 
 
 @query("SELECT o_orderkey AS doc_id, 'A' || o_orderkey AS invoice_number, strftime(o_orderdate, '%Y-%m-%d') AS date, strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS date_due, printf('%.2f', CAST(o_totalprice + 2000 AS DECIMAL(18,4))) AS amount, 'DEUTDEFF500' AS bic FROM orders")
 def labels_detect(spark, sf_dir):
-    found = labels.find(_sheet(spark, sf_dir))
-    return found.groupBy("doc_id").pivot("field", ["invoice_number", "date", "date_due", "amount", "bic"]).agg(F.first("value"))
+    return labels.find_wide(_sheet(spark, sf_dir), ["invoice_number", "date", "date_due", "amount", "bic"])
 
 
 # Sinks

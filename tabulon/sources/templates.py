@@ -311,6 +311,17 @@ def read_templates(folder: str | Path) -> list[Template]:
     return out
 
 
+def built_in() -> list[Template]:
+    """General templates for invoices in six languages, of the lowest priority: what states number, date and total on lines of their own."""
+    return read_templates(Path(__file__).resolve().parent.parent / "templates")
+
+
+def with_built_in(templates: Iterable[Template]) -> list[Template]:
+    """One's own templates, and after them the general ones whose names they don't use."""
+    own = list(templates)
+    return own + [t for t in built_in() if t.name not in {x.name for x in own}]
+
+
 def named(templates: Iterable[Template], part: str) -> list[Template]:
     """Those whose name contains a text, without regard to case; ValueError names some if none does."""
     templates = list(templates)

@@ -114,3 +114,183 @@ def test_stream(spark, tmp_path):
         extract_stream(arriving_texts(spark, str(tmp_path / "in")), [template], str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
     rows = spark.read.json(str(tmp_path / "out")).collect()
     assert sorted((r.template_name or "", r.error or "") for r in rows) == [("", "no_template"), ("t", "")]
+
+
+class FakePrograms:
+    """Stands for the programs that readers call."""
+
+    def __init__(self, monkeypatch):
+        self.calls = []
+        monkeypatch.setattr(readers, "_run", self)
+        monkeypatch.setattr(readers, "tesseract_languages", lambda: "deu+eng")
+        monkeypatch.setattr(readers.shutil, "which", lambda name: f"/bin/{name}" if name != "magick" else None)
+
+    def __call__(self, command, given=None, timeout=180):
+        self.calls.append((list(command), given))
+        if "-bbox-layout" in command:
+            return b'<doc><page width="1"><word xMin="1.5" yMin="2" xMax="3" yMax="4">a &amp; b</word></page><page><word xMax="9" xMin="8" yMin="1" yMax="2">c</word></page></doc>'
+        return b"seen\r\ntext" if command[0] == "pdftotext" else b"%PDF-made"
+
+
+AREA = {"f": 1, "l": 2, "r": 100, "x": 5, "y": 6, "W": 70, "H": 80}
+
+
+def test_areas_reach_the_program(monkeypatch):
+    fake = FakePrograms(monkeypatch)
+    for name in ("pdftotext", "tesseract"):
+        assert readers.READERS[name].read(b"%PDF-1.4", AREA) == "seen\r\ntext"
+        assert fake.calls[-1][0][-16:] == ["-f", "1", "-l", "2", "-r", "100", "-x", "5", "-y", "6", "-W", "70", "-H", "80", "-", "-"]
+    tesseract = next(c for c, _ in fake.calls if c[0] == "tesseract")
+    assert {"--psm", "6", "--oem", "3", "preserve_interword_spaces=1", "deu+eng"} <= set(tesseract) and any(c[0] == "convert" for c, _ in fake.calls)
+    fake.calls.clear()
+    readers.READERS["tesseract"].read(b"\x89PNG", None)
+    assert [c[0] for c, _ in fake.calls] == ["tesseract", "pdftotext"] and fake.calls[0][1] == b"\x89PNG"
+
+
+def test_placed_words(spark, monkeypatch, tmp_path):
+    FakePrograms(monkeypatch)
+    words = readers.READERS["pdftotext"].words(b"%PDF")
+    assert words == [{"page": 1, "x0": 1.5, "y0": 2.0, "x1": 3.0, "y1": 4.0, "text": "a & b"}, {"page": 2, "x0": 8.0, "y0": 1.0, "x1": 9.0, "y1": 2.0, "text": "c"}]
+    monkeypatch.setitem(readers.READERS, "placed", readers.Reader("placed", lambda content, area: "t", lambda: True, words=lambda content: [{"page": 1, "x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0, "text": "w"}]))
+    (tmp_path / "x.bin").write_bytes(b"1")
+    rows = readers.reader_texts(readers.read_folder(spark, str(tmp_path)), ["placed", "text"], boxes=True).collect()
+    assert {r.reader: r.boxes and [b.text for b in r.boxes] for r in rows} == {"placed": ["w"], "text": None}
+
+
+def test_ocr_options(monkeypatch):
+    import sys
+    import types
+
+    seen = {}
+
+    def ocr(given, made, **options):
+        seen.update(options)
+        open(made, "wb").write(b"%PDF-" + open(given, "rb").read())
+        return 0 if options.get("deskew") is not False else 3
+
+    monkeypatch.setitem(sys.modules, "ocrmypdf", types.SimpleNamespace(ocr=ocr))
+    FakePrograms(monkeypatch)
+    assert readers.ocrmypdf_reader("scan", **readers.SCAN_OPTIONS).read(b"x", None) == "seen\r\ntext"
+    assert seen["deskew"] is True and seen["redo_ocr"] is False and seen["progress_bar"] is False
+    with pytest.raises(RuntimeError):
+        readers.ocr_processed(b"x", {"deskew": False})
+
+
+def test_model_readers_shape_their_results(monkeypatch):
+    import types
+
+    pages = {"pages": [{"blocks": [{"lines": [{"words": [{"value": "a"}, {"value": "b"}]}, {"words": []}]}]}]}
+    assert readers.doctr_text(types.SimpleNamespace(export=lambda: pages)) == "a b\n" and readers.doctr_text(types.SimpleNamespace(render=lambda: "whole")) == "whole"
+    assert readers.paddle_text([{"rec_texts": ["x", 1]}, None, [[[0], ("y", 0.9)], [[0], ()], "odd"]]) == "x\n1\ny" and readers.paddle_text(None) == ""
+    page = types.SimpleNamespace(full_text_annotation=types.SimpleNamespace(text="p"))
+    assert readers.vision_text(types.SimpleNamespace(responses=[types.SimpleNamespace(responses=[page, page]), page])) == "p\np\np"
+    made = []
+    monkeypatch.setattr(readers, "_vision_client", lambda: types.SimpleNamespace(batch_annotate_files=lambda requests: made.append(requests) or types.SimpleNamespace(responses=[page])))
+    assert readers.READERS["gvision"].read(b"%PDF-", None) == "p" and made[0][0]["input_config"]["mime_type"] == "application/pdf"
+    assert not readers.READERS["gvision"].available() and not readers.READERS["doctr"].available()
+
+
+def test_what_was_just_read_is_remembered(monkeypatch):
+    calls = []
+    once = readers.remembering(lambda reader, content, area: calls.append((reader.name, content, area)) or len(calls))
+    text = readers.READERS["text"]
+    assert [once(text, b"a", None), once(text, b"a", None), once(text, b"a", {"x": 1}), once(text, b"b", None), once(readers.READERS["pdfium"], b"a", None)] == [1, 1, 2, 3, 4]
+    monkeypatch.setattr(readers, "REMEMBERED", 1)
+    assert [once(text, b"c", None), once(text, b"d", None), once(text, b"c", None)] == [5, 6, 7]
+
+
+def counting(path, answers):
+    """A reader's function that notes in a file what it was called with."""
+    path = str(path)
+
+    def read(content, area):
+        with open(path, "a") as out:
+            out.write(content.decode() + "\n")
+        return answers.get(content.decode(), "")
+
+    return read
+
+
+def test_documents_go_through_readers_in_waves(spark, tmp_path, monkeypatch):
+    from tabulon.plans.documents import read_documents
+
+    (tmp_path / "in").mkdir()
+    for name in ("whole", "late", "pinned", "scan", "model", "blank"):
+        (tmp_path / "in" / f"{name}.pdf").write_text(name)
+    (tmp_path / "in" / "plain.txt").write_text("kk 7\nROWS\nr 1\nEND")
+    full, bare = "kk 1\nROWS\nr 1\nEND", "kk 2\nROWS\nEND"
+    answers = {
+        "quick": {"whole": full, "late": bare, "pinned": "pin 3", "model": "unknown text"}, "slow": {"late": full, "model": "other text"},
+        "special": {"pinned": "pin 4"}, "ocr": {"scan": "kk 9\nROWS\nr 1\nEND"},
+    }
+    for name, own in answers.items():
+        monkeypatch.setitem(readers.READERS, name, readers.Reader(name, counting(tmp_path / name, own), lambda: True, is_ocr=name == "ocr"))
+    monkeypatch.setattr(readers, "AUTOMATIC", ("quick", "slow"))
+    rows = {"parser": "lines", "start": "ROWS\n", "end": "END", "line": r"r (?P<n>\d)"}
+    every = [
+        make_template({"template_name": "kk", "keywords": "kk", "required_fields": ["n"], "fields": {"n": r"kk (\d)", "lines": rows}}),
+        make_template({"template_name": "pin", "keywords": "pin", "required_fields": ["n"], "input_module": "special", "fields": {"n": r"pin (\d)"}}),
+    ]
+    found = read_documents(spark, str(tmp_path / "in"), every, last_resorts=["ocr"], provider=ai.Canned({"amount": 5}))
+    got = {r.doc_id.rsplit("/", 1)[1]: (r.reader, r.error, r.extraction_method, json.loads(r.record).get("n") if r.record else None) for r in found.withColumn("record", F.to_json("record")).collect()}
+    assert got == {
+        "whole.pdf": ("quick", None, "template", "1"), "late.pdf": ("slow", None, "template", "1"), "pinned.pdf": ("special", None, "template", "4"), "scan.pdf": ("ocr", None, "template", "9"),
+        "model.pdf": ("quick", "no_template", "ai", None), "blank.pdf": (None, "no_text", None, None), "plain.txt": ("text", None, "template", "7"),
+    }
+    calls = {name: sorted((tmp_path / name).read_text().split()) for name in answers}
+    assert calls["slow"] == ["blank", "late", "model", "scan"] and calls["special"] == ["pinned"] and calls["ocr"] == ["blank", "model", "scan"]
+    assert [calls["quick"].count(x) for x in ("whole", "late", "pinned")] == [1, 1, 1]
+    one = read_documents(spark, str(tmp_path / "in"), every, reader="slow", last_resorts=[])
+    assert {r.doc_id.rsplit("/", 1)[1] for r in one.where("record is not null").collect()} == {"late.pdf"}
+    with pytest.raises(KeyError):
+        read_documents(spark, str(tmp_path / "in"), every, reader="nothing")
+
+
+def test_drafts_by_a_model():
+    seen = []
+
+    class Model(ai.Canned):
+        def extract(self, text, schema):
+            seen.append((text, schema))
+            return self.answer
+
+    answer = {"issuer": "X", "keywords": "Acme", "fields": {"amount": {"parser": "regex", "regex": r"Total: (\S+)"}, "bad": {"parser": "regex", "regex": "("}}}
+    made = ai.draft_template(TEXT, Model(answer), issuer="Mine")
+    assert made == {"issuer": "Mine", "keywords": ["Acme"], "fields": {"amount": answer["fields"]["amount"]}}
+    assert "amount = 1.234,56" in seen[0][0] and TEXT in seen[0][0]
+    assert ai.draft_template(TEXT, Model({"fields": None}))["keywords"] == ["Acme Ltd"]
+
+
+def test_model_configuration():
+    env = {"TABULON_AI_PROVIDER": "Ollama", "TABULON_AI_MODEL": "m"}
+    made = ai.get_provider(ai.load_config(env))
+    assert isinstance(made, ai.ChatEndpoint) and made.url == "http://localhost:11434/v1" and made.available()
+    assert isinstance(ai.get_provider(ai.load_config({})), ai.Canned) and ai.load_config({**env, "TABULON_AI_BASE_URL": "http://h"}).url == "http://h"
+
+
+def test_detected_tables(spark, monkeypatch, tmp_path):
+    import sys
+
+    (tmp_path / "camelot.py").write_text("""
+class T:
+    def __init__(self, data): self.data = data
+def read_pdf(path, pages="1", flavor="lattice"):
+    content = open(path, "rb").read()
+    if content == b"bad": raise ValueError("x")
+    return [T([["a", " b "], ["1", "2"]]), T([[pages, flavor]])]
+""")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "camelot.py"))
+    files = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"bad")), (3, None)], "doc_id int, content binary")
+    blocks = [{"field": "rows", "tables": 0, "pages": "3", "unknown": 1}, {"header": False, "tables": 1, "flavor": "stream"}]
+    got = {(r.doc_id, r.field): json.loads(r.j) for r in authoring.detected_tables(files, blocks).selectExpr("doc_id", "field", "to_json(records) j").collect()}
+    assert got[1, "rows"] == [{"a": "1", "b": "2"}] and got[1, "lines"] == [{"col_0": "1", "col_1": "stream"}] and not any(k[0] == 2 for k in got)
+    sys.modules.pop("camelot", None)
+    assert authoring.detector_blocks({"flavor": "stream", "other": 2, "rules": {"1": {"table_areas": [1, 2, 3.5, 4], "columns": ""}}}) == [{"pages": "1", "table_areas": ["1,2,3.5,4"], "flavor": "stream"}]
+
+
+def test_review():
+    answers = iter(["", "(", r"To(\w+)", "-"])
+    draft = {"keywords": ["k"], "fields": {n: {"parser": "regex", "regex": "x"} for n in ("a", "b", "c")}}
+    made = authoring.review(draft, "Total", lambda shown: next(answers))
+    assert made["fields"] == {"a": {"parser": "regex", "regex": "x"}, "b": {"parser": "regex", "regex": r"To(\w+)"}} and len(draft["fields"]) == 3
