@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -138,7 +139,7 @@ def prep_accents(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(tx.prepare(F.col("text"), remove_accents=True)).alias("prepared"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '([a-z])\1', '<\1>', 'g'), '[.,]+', '$', 'g')) AS prepared FROM documents" .replace(r"([a-z])\1", "(th)(e)").replace(r"<\1>", r"\2-\1"))
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(th)(e)', '\2-\1', 'g'), '[.,]+', '$', 'g')) AS prepared FROM documents")
 def prep_replace(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(tx.prepare(F.col("text"), replace=(("(th)(e)", r"\2-\1"), ("[.,]+", "$")))).alias("prepared"))
 
@@ -231,7 +232,7 @@ def legacy_typed(spark, sf_dir):
     return found.select("doc_id", F.date_format("date_order", "yyyy-MM-dd").alias("date_order"), "amount", F.round("amount_all", 2).alias("amount_all"), "kind", "currency")
 
 
-@query("SELECT o_orderkey AS doc_id, 'Tabulon Trading' AS issuer, 'plain.yml' AS template_name, 'USD' AS currency, 'invoice' AS kind, 'Invoice from Tabulon Trading' AS desc FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)".replace("AS desc", 'AS "desc"'))
+@query("SELECT o_orderkey AS doc_id, 'Tabulon Trading' AS issuer, 'plain.yml' AS template_name, 'USD' AS currency, 'invoice' AS kind, 'Invoice from Tabulon Trading' AS \"desc\" FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def static_fields(spark, sf_dir):
     return wide(spark, sf_dir, "plain").select("doc_id", "issuer", "template_name", "currency", "kind", "desc")
 
@@ -264,7 +265,7 @@ def lines_first_last(spark, sf_dir):
     return _exploded(wide(spark, sf_dir, "nested")).select("doc_id", "pos", "product", "line_note", "price_subtotal")
 
 
-@query("SELECT o_orderkey AS doc_id, CAST(count(l_orderkey) * 4 + 1 + count(l_orderkey) * 2 AS BIGINT) AS n_lines, CAST(count(l_orderkey) AS BIGINT) AS n_skipped FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey".replace("count(l_orderkey) * 4 + 1 + count(l_orderkey) * 2", "count(l_orderkey) * 5 + 2"))
+@query("SELECT o_orderkey AS doc_id, CAST(count(l_orderkey) * 5 + 2 AS BIGINT) AS n_lines, CAST(count(l_orderkey) AS BIGINT) AS n_skipped FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def lines_skip(spark, sf_dir):
     """Lines of the block that aren't blank and aren't skipped, and those that are skipped."""
     rule = template("nested").fields[-1].rules[0]
@@ -373,7 +374,7 @@ def tax_total_check(spark, sf_dir):
 # Validation
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, '@') THEN [] ELSE ['email'] END AS missing FROM documents WHERE contains(text, 'e')".replace("CASE WHEN contains(text, '@') THEN [] ELSE ['email'] END", "CASE WHEN contains(text, '@') THEN '' ELSE 'email' END"))
+@query("SELECT doc_id, CASE WHEN contains(text, '@') THEN '' ELSE 'email' END AS missing FROM documents WHERE contains(text, 'e')")
 def required_fields(spark, sf_dir):
     made = make_template({"keywords": "e", "required_fields": ["email", "issuer"], "fields": {"email": {"parser": "regex", "regex": "(@)", "group": "first"}}})
     return extract_wide(docs(spark, sf_dir), made).select("doc_id", F.array_join("missing", ",").alias("missing"))
@@ -385,9 +386,18 @@ def schema_unknown(spark, sf_dir):
     return extract(docs(spark, sf_dir).where(F.col("text").contains("e")), [made]).select("doc_id", F.array_join("unknown", ",").alias("unknown"), "error")
 
 
-@query("SELECT * FROM (VALUES ('invoice_numbr', 'invoice_number'), ('iban_code', NULL), ('partner_nme', 'partner_name')) AS t(name, suggestion)")
+_ODD = ("invoice_numbr", "iban_code", "partner_nme", "amount_x", "date_x", "vat", "lin")
+
+
+@query(f"""SELECT o_orderkey AS doc_id, n AS name, CASE n WHEN 'invoice_numbr' THEN 'invoice_number' WHEN 'partner_nme' THEN 'partner_name' END AS suggestion
+FROM (SELECT o_orderkey, {list(_ODD)}[CAST(o_custkey % {len(_ODD)} AS BIGINT) + 1] AS n FROM orders) WHERE NOT starts_with(n, 'amount') AND NOT starts_with(n, 'date') AND n <> 'vat'""")
 def schema_suggestions(spark, sf_dir):
-    return spark.createDataFrame(list(validate.unknown(["invoice_numbr", "iban_code", "partner_nme", "amount_x", "date_x", "vat"]).items()), "name string, suggestion string")
+    """A field name for each order; names outside the vocabulary with the known one that is close."""
+    found = validate.unknown(_ODD)
+    table_of = F.create_map(*[F.lit(x) for pair in found.items() for x in pair])
+    name = F.element_at(F.array(*map(F.lit, _ODD)), (F.col("o_custkey") % len(_ODD) + 1).cast("int"))
+    named = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), name.alias("name"))
+    return named.where(F.col("name").isin(list(found))).withColumn("suggestion", F.try_element_at(table_of, "name"))
 
 
 # Cascade
@@ -515,7 +525,7 @@ def csv_flat_json(spark, sf_dir):
     return flat.cells(found).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-@query("SELECT unnest(['kind', 'email', 'issuer']) AS key WHERE EXISTS (SELECT 1 FROM documents)".replace("['kind', 'email', 'issuer']", "['issuer', 'template_name', 'email', 'currency', 'desc']"))
+@query("""SELECT key FROM (SELECT DISTINCT unnest(['issuer', 'template_name', 'currency', 'desc'] || CASE WHEN contains(text, '@') THEN ['email'] ELSE [] END) AS key FROM documents WHERE contains(text, 'e'))""")
 def key_union(spark, sf_dir):
     """Ordered union of the keys of all records: the header of a flat file."""
     made = make_template({"keywords": "e", "required_fields": ["issuer"], "fields": {"email": {"parser": "regex", "regex": "(@)", "group": "first"}}})
@@ -533,7 +543,13 @@ def slug(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), tx.slug(F.concat(F.lit("--"), "p_type", F.lit(" "), "p_name", F.lit("! "))).alias("slug"))
 
 
-@query()
+_BARE = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>|<!--.*?-->', ' ', 'g'), '(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title))\\b[^>]*>', chr(10), 'g')"
+_SIGNS = f"regexp_replace({_BARE}, '<[^>]*>', '', 'g')"
+for _entity, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _SIGNS = f"replace({_SIGNS}, '{_entity}', '{_sign}')"
+
+
+@query(f"SELECT page_id, url, trim(regexp_replace(regexp_replace({_SIGNS}, '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) AS text FROM pages")
 def pages_text_extract(spark, sf_dir):
     """The text of web pages, as a reader gives it."""
     return pages.page_text(table(spark, sf_dir, "pages"))
@@ -546,4 +562,179 @@ def negatives(spark, sf_dir):
     return extract(docs(spark, sf_dir), every).select("doc_id", F.col("record").isNotNull().cast("bigint").alias("found"))
 
 
+# Dates in words
+
+
+_MONTHS = {"de": ("Januar Februar März April Mai Juni Juli August September Oktober November Dezember", "{d}. {m} {y}"), "fr": ("janvier février mars avril mai juin juillet août septembre octobre novembre décembre", "{d} {m} {y}"), "nl": ("januari februari maart april mei juni juli augustus september oktober november december", "{d} {m} {y}"), "es": ("enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre", "{d} de {m} de {y}"), "it": ("gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre", "{d} {m} {y}"), "pl": ("stycznia lutego marca kwietnia maja czerwca lipca sierpnia września października listopada grudnia", "{d} {m} {y}")}
+
+
+@query("SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def date_languages(spark, sf_dir):
+    """The day in words of six languages and in digits with two for the year, by turns; no format is given."""
+    day, month, year = F.dayofmonth("o_orderdate").cast("string"), F.month("o_orderdate"), F.year("o_orderdate").cast("string")
+    shown = F.date_format("o_orderdate", "M/d/yy")
+    for k, (names, form) in enumerate(_MONTHS.values()):
+        parts = {"d": day, "m": F.element_at(F.array(*map(F.lit, names.split())), month), "y": year}
+        text = F.concat(*[parts[p] if p in parts else F.lit(p) for p in re.split(r"{(\w)}", form) if p])
+        shown = F.when(F.pmod("o_orderkey", F.lit(len(_MONTHS) + 1)) == k, text).otherwise(shown)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format(dates.parse_date(shown, languages=list(_MONTHS)), "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def date_output(spark, sf_dir):
+    return flat.cells(wide(spark, sf_dir, "plain").select("doc_id", F.col("date").alias("day")), "%d/%m/%Y").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+# The Python dialect, with all that the native plan adds
+
+
+def _taxed_sheet(spark, sf_dir) -> DataFrame:
+    line = lambda x: F.concat(F.lit("row "), x["l_partkey"].cast("string"), F.lit(" "), unit(x["l_partkey"] * 0 + 1), F.lit(" "), money(x["l_extendedprice"]), F.when(x["l_returnflag"] == "N", "").otherwise(F.concat(F.lit(" "), x["l_returnflag"])), F.lit("\n"))
+    text = F.concat(F.lit("TAXED\nROWS\n"), F.array_join(F.transform("items", line), ""), F.lit("ROWSEND\nRATES\nA 9\nR 21\nRATESEND\n"))
+    return orders_with_items(spark, sf_dir).where(F.size("items") > 0).select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+
+
+_TAXED = {
+    "keywords": "TAXED", "template_name": "taxed", "required_fields": ["issuer"], "fields": {
+        "twice": {"parser": "regex", "regex": r"(S)\nRO?\1?", "group": "first"},
+        "lines": {"parser": "lines", "start": "ROWS\n", "end": "ROWSEND", "line": [r"row (?P<code>\d+) (?P<uom>\S+) (?P<price_subtotal>[\d.]+) (?P<line_tax_code>\w)$", r"row (?P<code>\d+) (?P<uom>\S+) (?P<price_subtotal>[\d.]+)$"], "types": {"price_subtotal": "float"}},
+        "tax_lines": {"parser": "lines", "start": "RATES\n", "end": "RATESEND", "line": r"(?P<line_tax_code>\w) (?P<vat_rate>\d+)$", "types": {"vat_rate": "float"}},
+    },
+}
+
+
+@query(f"WITH {ITEMS}, rated AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 9.0 WHEN 'R' THEN 21.0 END::DOUBLE AS p FROM items) SELECT l_orderkey AS doc_id, pos, CAST(l_partkey AS VARCHAR) AS code, 'KGM' AS unece_code, p AS line_tax_percent, {_AMOUNT} AS line_tax_amount FROM rated")
+def python_dialect_taxed(spark, sf_dir):
+    """A template with a back reference, which only Python reads: units and taxes come all the same."""
+    made = make_template(_TAXED)
+    assert not made.native
+    found = extract(_taxed_sheet(spark, sf_dir), [made])
+    rows = found.select("doc_id", F.posexplode(F.try_variant_get("record", "$.lines", "array<struct<code:string,unece_code:string,line_tax_percent:double,line_tax_amount:double>>")).alias("pos", "row"))
+    return rows.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "row.*")
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS invoice_number, strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice AS amount, CAST((SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS BIGINT) AS n_lines FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def python_engine(spark, sf_dir):
+    """The flagship's invoices by the Python dialect alone."""
+    found = extract(invoices(spark, sf_dir, "plain"), [template("plain")], engine="python").where("error is null")
+    value = lambda name, kind: F.try_variant_get("record", f"$.{name}", kind)
+    return found.select("doc_id", value("invoice_number", "string").alias("invoice_number"), F.left(value("date", "string"), F.lit(10)).alias("day"), value("amount", "double").alias("amount"), F.size(value("lines", "array<variant>")).cast("bigint").alias("n_lines"))
+
+
+@query("SELECT o_orderkey AS doc_id, o_orderkey % 30 AS template_index, o_totalprice AS amount FROM orders")
+def many_templates(spark, sf_dir):
+    """Thirty templates, by their number in the text."""
+    text = F.concat(F.lit("Firm "), (F.col("o_orderkey") % 30).cast("string"), F.lit(";\nTotal "), money(F.col("o_totalprice")))
+    every = [make_template({"template_name": f"{k}", "keywords": f"Firm {k};", "required_fields": ["amount"], "fields": {"amount": r"Total (\S+)"}}) for k in range(30)]
+    found = extract(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), every)
+    return found.select("doc_id", F.col("template_name").cast("bigint").alias("template_index"), F.try_variant_get("record", "$.amount", "double").alias("amount"))
+
+
+# Seams and rules of the grammar
+
+
+@query(f"WITH {ITEMS} SELECT l_orderkey AS doc_id, string_agg(l_partkey || '', ',' ORDER BY pos) FILTER (pos <= 2) AS inside, CAST(count(*) AS BIGINT) AS n_all FROM items GROUP BY l_orderkey")
+def area_fields(spark, sf_dir):
+    """One field sees the first two rows of the page by their boxes, another the whole text."""
+    box = lambda x, i: F.struct(F.lit(1).alias("page"), F.lit(10.0).alias("x0"), (i * 20.0 + 10).alias("y0"), F.lit(40.0).alias("x1"), (i * 20.0 + 20).alias("y1"), F.concat(F.lit("p"), x["l_partkey"].cast("string")).alias("text"))
+    rows = orders_with_items(spark, sf_dir).where(F.size("items") > 0)
+    printed = rows.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("top\n"), F.array_join(F.transform("items", lambda x: F.concat(F.lit("p"), x["l_partkey"].cast("string"))), "\n")).alias("text"), F.transform("items", box).alias("boxes"))
+    area = {"f": 1, "l": 1, "r": 72, "x": 0, "y": 0, "W": 100, "H": 45}
+    part = lambda **more: {"parser": "regex", "regex": r"p(\d+)"} | more
+    made = make_template({"keywords": "p", "required_fields": ["issuer"], "fields": {"inside": part(area=area, group="join"), "every": {"parser": "lines", "start": "top", "end": r"\Z", "line": r"p(?P<x>\d+)"}}})
+    found = extract(printed, [made], engine="python")
+    return found.select("doc_id", F.replace(F.try_variant_get("record", "$.inside", "string"), F.lit(" "), F.lit(",")).alias("inside"), F.size(F.try_variant_get("record", "$.every", "array<variant>")).cast("bigint").alias("n_all"))
+
+
+@query(f"SELECT c_custkey AS doc_id, 'GB' || lpad(CAST({_CHECK} AS VARCHAR), 2, '0') || {_BBAN} AS iban FROM customer WHERE c_custkey % 5 <> 0")
+def iban_spaced(spark, sf_dir):
+    """IBANs printed in blocks of four; those with wrong check digits are none."""
+    spaced = F.regexp_replace("iban", "(....)(?=.)", "$1 ")
+    sheet = _ibans(spark, sf_dir).select("doc_id", F.concat(F.lit("pay to "), spaced, F.lit(" now")).alias("text"))
+    return candidates.find(sheet).where("kind = 'iban'").select("doc_id", F.col("parsed_str").alias("iban"))
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'amount' ELSE 'amount,note' END AS present FROM orders")
+def emission_filter(spark, sf_dir):
+    """A field whose only value is empty isn't there."""
+    text = F.concat(F.lit("Total "), money(F.col("o_totalprice")), F.lit("\nNote<"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("x"), F.lit(">"))
+    made = make_template({"keywords": "Total", "required_fields": ["issuer"], "fields": {"amount": r"Total (\S+)", "note": {"parser": "regex", "regex": "Note<(.?)>"}}})
+    found = extract(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), [made])
+    return found.select("doc_id", F.array_join(F.array_sort(F.array_intersect("names", F.array(F.lit("amount"), F.lit("note")))), ",").alias("present"))
+
+
+@query("SELECT o_orderkey AS doc_id, printf('%.2f', o_totalprice) AS code, o_totalprice AS amount FROM orders")
+def table_overwrites(spark, sf_dir):
+    """A table's column takes the place of a field of its name; blank lines in it count for nothing."""
+    text = F.concat(F.lit("code first\nTABLE\n   \n\n"), money(F.col("o_totalprice")), F.lit(" "), money(F.col("o_totalprice")), F.lit("\n \t\nEND"))
+    made = make_template({"keywords": "TABLE", "required_fields": ["issuer"], "fields": {"code": {"parser": "regex", "regex": r"code (\w+)"}}, "tables": [{"start": "TABLE", "end": "END", "body": r"(?P<code>[\d.]+) (?P<amount>[\d.]+)"}]})
+    found = extract_wide(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), made)
+    return found.select("doc_id", "code", "amount")
+
+
+@query(f"WITH {ITEMS} SELECT l_orderkey AS doc_id, pos, l_partkey AS product FROM items")
+def lines_old_form(spark, sf_dir):
+    """Lines at a template's top level."""
+    raw = {k: v for k, v in TEMPLATES["plain"]["fields"]["lines"].items() if k != "parser"}
+    made = make_template({"keywords": "ITEMS", "required_fields": ["issuer"], "lines": raw})
+    return _exploded(extract_wide(invoices(spark, sf_dir, "plain"), made)).select("doc_id", "pos", "product")
+
+
+@query(f"WITH {ITEMS} SELECT l_orderkey AS doc_id, pos, l_partkey AS product FROM items")
+def lines_separated(spark, sf_dir):
+    """Rows that a pattern separates, not the end of a line."""
+    text = F.concat(F.lit("ROWS\n"), F.array_join(F.transform("items", lambda x: F.concat(F.lit("part\nno "), x["l_partkey"].cast("string"))), "\n - \n"), F.lit("\nEND"))
+    printed = orders_with_items(spark, sf_dir).where(F.size("items") > 0).select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    made = make_template({"keywords": "ROWS", "required_fields": ["issuer"], "fields": {"lines": {"parser": "lines", "rules": [{"start": "ROWS\n", "end": "END", "line_separator": r"\n\s*-\s*\n", "line": r"no (?P<product>\d+)", "types": {"product": "int"}}]}}})
+    return _exploded(extract_wide(printed, made)).select("doc_id", "pos", "product")
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(length(c_name) * 2 AS BIGINT) AS size FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def own_parser(spark, sf_dir):
+    """A parser of one's own: the length of the customer's name, times a setting."""
+    from tabulon.sources import templates
+
+    templates.PARSERS["length of name"] = lambda text, settings, options: F.length(F.regexp_extract(text, "Customer: (.+)", 1)) * settings["times"]
+    try:
+        made = make_template({"keywords": "ITEMS\nPart", "required_fields": ["issuer"], "fields": {"size": {"parser": "length of name", "times": 2}}})
+        found = extract(invoices(spark, sf_dir, "plain").where(~F.col("text").contains("Customer: -")), [made])
+    finally:
+        del templates.PARSERS["length of name"]
+    return found.where("template_name is not null").select("doc_id", F.try_variant_get("record", "$.size", "bigint").alias("size"))
+
+
+# Authoring, scores, reports
+
+
+@query(f"SELECT o_orderkey AS doc_id, 'A' || o_orderkey AS invoice_number, strftime(o_orderdate, '%Y-%m-%d') AS day, {_SHEET_AMOUNT} AS amount FROM orders")
+def draft_extract(spark, sf_dir):
+    """A template drafted from one sheet reads all of them."""
+    from tabulon.operators import authoring
+
+    sheets = _sheet(spark, sf_dir)
+    sample = sheets.orderBy("doc_id").first().text
+    draft = authoring.draft_template(sample)
+    made = make_template({**draft, "keywords": ["Invoice No"], "required_fields": ["amount"]}, "draft")
+    found = extract_wide(sheets, made)
+    return found.select("doc_id", "invoice_number", F.date_format("date", "yyyy-MM-dd").alias("day"), "amount")
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 3 END AS BIGINT) AS matched, CAST(3 AS BIGINT) AS total FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def score_records(spark, sf_dir):
+    """Of three golden fields one is wrong in every third record."""
+    from tabulon.plans.score import score
+
+    found = extract(invoices(spark, sf_dir, "plain"), [template("plain")]).where("error is null").select("doc_id", "record")
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").select("l_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey"))
+    golden = F.struct(F.col("o_orderkey").cast("string").alias("invoice_number"), F.col("o_totalprice").alias("amount"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("1999-01-01")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"))
+    return score(found, orders.select(F.col("o_orderkey").alias("doc_id"), F.parse_json(F.to_json(golden)).alias("record"))).select("doc_id", "matched", "total")
+
+
+@query("SELECT o_orderkey AS doc_id, f AS field, CASE f WHEN 'amount' THEN printf('%.2f', o_totalprice) ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value, f = 'amount' AS required FROM orders CROSS JOIN (VALUES ('amount'), ('date')) AS t(f)")
+def explain_fields(spark, sf_dir):
+    """Each field of each record as a row, the required ones marked."""
+    made = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), money(F.col("o_totalprice")).alias("amount"), F.col("o_orderdate").alias("date"))
+    return flat.explain(made, ["amount"], "doc_id")
+
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -45,18 +45,19 @@ def key_union(frame: DataFrame, column: str = "names") -> DataFrame:
     return each.groupBy("key").agg(F.min("at").alias("place")).orderBy("place", "key")
 
 
-def write_csv(frame: DataFrame, path: str, date_format: str = "%Y-%m-%d", explode: str | None = None) -> None:
+def write_csv(frame: DataFrame, path: str, date_format: str = "%Y-%m-%d", explode: str | None = None, mode: str = "error") -> None:
+    """A folder that exists is an error, unless ``mode`` says overwrite or append; so of the other formats."""
     flat = exploded(frame, explode) if explode else frame
-    cells(flat, date_format).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    cells(flat, date_format).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def write_json(frame: DataFrame, path: str, date_format: str = "%Y-%m-%d") -> None:
+def write_json(frame: DataFrame, path: str, date_format: str = "%Y-%m-%d", mode: str = "error") -> None:
     """JSON lines, a file for each partition."""
     java = java_date_format(date_format) or "yyyy-MM-dd"
-    frame.write.mode("overwrite").option("timestampNTZFormat", java).option("timestampFormat", java).json(path)
+    frame.write.mode(mode).option("timestampNTZFormat", java).option("timestampFormat", java).json(path)
 
 
-def write_xml(frame: DataFrame, path: str) -> None:
+def write_xml(frame: DataFrame, path: str, mode: str = "error") -> None:
     """``<data><item id=…>``: lists as nested items."""
     out = [F.monotonically_increasing_id().alias("_id")] if "_id" not in frame.columns else [F.col("_id")]
     for f in frame.schema.fields:
@@ -64,7 +65,7 @@ def write_xml(frame: DataFrame, path: str) -> None:
             continue
         c = F.col(f"`{f.name}`")
         out.append((F.struct(c.alias("item")) if isinstance(f.dataType, T.ArrayType) else c).alias(f.name))
-    frame.select(*out).write.mode("overwrite").format("xml").option("rootTag", "data").option("rowTag", "item").save(path)
+    frame.select(*out).write.mode(mode).format("xml").option("rootTag", "data").option("rowTag", "item").save(path)
 
 
 def formatted(value: Any, date_format: str = "%Y-%m-%d") -> Any:
@@ -90,10 +91,11 @@ def dump_json(records: Iterable[Mapping[str, Any]], path: str, date_format: str
         target.write_text(text, encoding="utf-8")
 
 
-def explain(frame: DataFrame, required: Iterable[str]) -> DataFrame:
-    """``field``, ``value`` and ``required`` of every field of every record, required ones first."""
+def explain(frame: DataFrame, required: Iterable[str], id_column: str | None = None) -> DataFrame:
+    """``field``, ``value`` and ``required`` of every field of every record, required ones first; with ``id_column`` beside it each time."""
     first = list(required)
-    names = [*[c for c in first if c in frame.columns], *[c for c in frame.columns if c not in first]]
-    flat = cells(frame.select(*names))
+    own = [id_column] if id_column else []
+    names = [*[c for c in first if c in frame.columns], *[c for c in frame.columns if c not in (*first, *own)]]
+    flat = cells(frame.select(*[F.col(c).alias("__id") for c in own], *names))
     rows = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("value"), F.lit(c in first).alias("required")) for c in names])
-    return flat.select(F.explode(rows).alias("r")).select("r.*")
+    return flat.select(*["__id" for _ in own], F.explode(rows).alias("r")).select(*[F.col("__id").alias(c) for c in own], "r.*")
