@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda v: body(v))[0]
 
 
+def literal_map(pairs: Mapping[str, str | int | None]) -> Column:
+    """A constant map, made by one call: a call for each key and value would take longer than all the rest of a plan."""
+    quoted = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(f"map({', '.join(quoted(x) for pair in pairs.items() for x in pair)})")
+
+
+def computed_struct(frame: DataFrame, columns: Sequence[Column], name: str) -> DataFrame:
+    """Adds a struct of fields c0, c1, … that later steps read and cannot inline.
+
+    The columns are a projection of their own, as generated code; the explode above it only holds
+    filters and projections off.
+    """
+    names = [f"{name}{k}" for k in range(len(columns))]
+    made = frame.select("*", *[c.alias(n) for c, n in zip(columns, names)])
+    held = F.struct(*[F.col(n).alias(f"c{k}") for k, n in enumerate(names)])
+    return made.select(*frame.columns, F.explode(F.array(held)).alias(name))
+
+
 def computed(frame: DataFrame, value: Column, name: str) -> DataFrame:
     """Adds a column that later projections read and cannot inline: a one-element explode stands between."""
     return frame.select("*", F.explode(F.array(value)).alias(name))

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-from tabulon.functions.binding import let
+from tabulon.functions.binding import let, literal_map
 from tabulon.functions.text import java_date_format, strip
 
 #: Names of the twelve months by language, in full and as they are cut; the names of one month are joined by bars.
@@ -85,7 +85,7 @@ def _numbers(value: Column) -> Column:
 
 
 def _names(value: Column, languages: tuple[str, ...]) -> Column:
-    numbers = F.create_map(*[F.lit(x) for pair in month_numbers(languages).items() for x in pair])
+    numbers = literal_map(month_numbers(languages))
 
     def read(pattern: str, day: int, month: int) -> Column:
         part = lambda k: F.regexp_extract(value, pattern, k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -57,7 +58,9 @@ def _char_class(source: str, at: int) -> tuple[str, int]:
 def translate(source: str) -> Pattern:
     """The pattern for Java's engine; NotPortable where the meaning could differ."""
     try:
-        compiled = re.compile(source)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", FutureWarning)  # signs that later versions may read otherwise are escaped here
+            compiled = re.compile(source)
     except re.error as error:
         raise NotPortable(str(error)) from error
     out, i, opened = [], 0, 0
@@ -113,6 +116,56 @@ def translate(source: str) -> Pattern:
     return Pattern(source, FLAGS + "".join(out), compiled.groups, tuple(sorted(compiled.groupindex.items(), key=lambda x: x[1])))
 
 
+def _no_space(items) -> bool:
+    """Nothing of a parsed pattern takes white space."""
+    for op, value in items:
+        kind = str(op)
+        if kind == "LITERAL":
+            if chr(value).isspace():
+                return False
+        elif kind == "IN":
+            for part, what in value:
+                if str(part) == "LITERAL" and not chr(what).isspace() or str(part) == "RANGE" and what[0] > 32 and what[1] < 127 or str(part) == "CATEGORY" and str(what) in ("CATEGORY_DIGIT", "CATEGORY_WORD"):
+                    continue
+                return False
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            if not _no_space(value[2]):
+                return False
+        elif kind == "SUBPATTERN":
+            if not _no_space(value[3]):
+                return False
+        elif kind == "BRANCH":
+            if not all(map(_no_space, value[1])):
+                return False
+        elif kind != "AT":
+            return False
+    return True
+
+
+@lru_cache(maxsize=4096)
+def spaceless(source: str) -> frozenset[str]:
+    """Named groups of a pattern that never hold white space, so that they needn't be stripped."""
+    parsed = re._parser.parse(source)
+    names = {n: k for k, n in parsed.state.groupdict.items()}
+    out: set[str] = set()
+
+    def walk(items) -> None:
+        for op, value in items:
+            kind = str(op)
+            if kind == "SUBPATTERN":
+                if value[0] in names and _no_space(value[3]):
+                    out.add(names[value[0]])
+                walk(value[3])
+            elif kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                walk(value[2])
+            elif kind == "BRANCH":
+                for branch in value[1]:
+                    walk(branch)
+
+    walk(parsed)
+    return frozenset(out)
+
+
 #: Noncharacters that stand between cells while a match is taken apart; texts must not hold them.
 CELL, MATCHED = "\ufdd0", "\ufdd1"
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabulon.functions.binding import let
+from tabulon.functions.binding import let, literal_map
 from tabulon.functions.numbers import round_cents
 from tabulon.functions.text import strip
 
@@ -27,8 +27,7 @@ UNIT_CODES = {printed: code for code, several in _UNITS.items() for printed in s
 
 def unit_code(printed: Column) -> Column:
     """The unit's code; null for units that are not known."""
-    table = F.create_map(*[F.lit(x) for pair in UNIT_CODES.items() for x in pair])
-    return F.try_element_at(table, F.lower(strip(printed)))
+    return F.try_element_at(literal_map(UNIT_CODES), F.lower(strip(printed)))
 
 
 def _rebuild(rows: Column, columns: Sequence[str], new: dict[str, "callable"]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabulon.functions.binding import let
-from tabulon.functions.regex_dialect import CELL, FLAGS, MATCHED, translate, whole_line
+from tabulon.functions.regex_dialect import CELL, FLAGS, MATCHED, spaceless, translate, whole_line
 from tabulon.functions.text import replace_all, strip
 from tabulon.operators.fields import coerce
 from tabulon.sources.templates import LineRule, LinesField, Options
@@ -86,7 +86,11 @@ def cells(block: Column, rule: LineRule) -> Column:
     """Rows of a simple rule's block as array<array<string>>, a cell for each group: one pass finds the lines that fit and takes them apart."""
     p = translate(rule.line[0])
     marked = F.transform(_lines(block, rule), lambda l: F.regexp_replace(l, whole_line(p), MATCHED + CELL.join(f"${n}" for _, n in p.names)))
-    return F.transform(F.filter(marked, lambda m: m.startswith(MATCHED)), lambda m: F.transform(F.split(F.substring(m, 2, 1 << 30), CELL), strip))
+    return F.transform(F.filter(marked, lambda m: m.startswith(MATCHED)), lambda m: F.split(F.substring(m, 2, 1 << 30), CELL))
+
+
+def _stripped(cell: Column, name: str, rule: LineRule) -> Column:
+    return cell if name in spaceless(rule.line[0]) else strip(cell)
 
 
 def rows(block: Column, rule: LineRule) -> Column:
@@ -101,7 +105,7 @@ def rows(block: Column, rule: LineRule) -> Column:
     if not rule.first_line and not rule.last_line:
         if simple(rule):
             own = {c: k for k, (c, _) in enumerate(translate(rule.line[0]).names)}
-            return F.transform(cells(block, rule), lambda row: F.struct(*[row[own[c]].alias(c) for c in columns]).cast(shape))
+            return F.transform(cells(block, rule), lambda row: F.struct(*[_stripped(row[own[c]], c, rule).alias(c) for c in columns]).cast(shape))
         return F.transform(F.filter(lines, lambda l: _hit(l, rule.line)), lambda l: _row(l, rule.line, columns, None).cast(shape))
     if not rule.first_line:
         return F.array().cast(f"array<{shape}>")
@@ -128,6 +132,10 @@ def _coerced(kind: str | None, options: Options):
     return lambda cell: coerce(cell, kind, options)
 
 
+def _replaced(pairs: Sequence[tuple[str, str]], kind: str | None, options: Options):
+    return lambda cell: let(replace_all(cell, pairs), _coerced(kind, options)) if pairs else coerce(cell, kind, options)
+
+
 def _rows_of(rule: LineRule):
     return lambda block: cells(block, rule) if simple(rule) else rows(block, rule)
 
@@ -142,8 +150,10 @@ def _typed(found: Column, rule: LineRule, columns: Sequence[str], options: Optio
             if c not in columns:
                 cells.append(F.lit(None).cast(kinds[c]).alias(c))
                 continue
-            cell = row[c if own is None else own[c]]
-            if c in replace:
+            cell = row[c] if own is None else _stripped(row[own[c]], c, rule)
+            if own is not None and c not in spaceless(rule.line[0]):
+                made = let(cell, _replaced(replace.get(c, ()), types.get(c), options))
+            elif c in replace:
                 made = let(replace_all(cell, replace[c]), _coerced(types.get(c), options))
             else:
                 made = coerce(cell, types.get(c), options)

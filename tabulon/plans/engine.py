@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.binding import computed, let
+from tabulon.functions.binding import computed, computed_struct, let
 from tabulon.functions.text import prepare
 from tabulon.operators import enrich, fields, lines, matching, tables, validate, wordboxes
 from tabulon.sources.templates import PARSERS, CustomField, LinesField, RegexField, StaticField, Template, TemplateError, by_priority, read_templates
@@ -139,7 +139,7 @@ def extract_wide(docs: DataFrame, template: Template, text_column: str = "text")
         matched = _staged(matched, template, text, "__ready")
     boxes = F.col("boxes") if "boxes" in docs.columns else None
     compiled = compile_template(template, F.col("__ready") if staged else text, staged, boxes)
-    found = computed(matched, compiled.struct(), "__found")
+    found = computed_struct(matched, compiled.raw, "__found")
     made, broken = compiled.finish(F.col("__found"))
     columns: dict[str, Column] = {}
     for name, value in made.items():
