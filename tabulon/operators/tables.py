@@ -36,17 +36,26 @@ def _cell(place: int, kind: str | None, options: Options):
     return lambda row: coerce(row[place], kind, options)
 
 
-def columns(text: Column, rule: TableRule, options: Options) -> dict[str, Column]:
-    """Each named column's values in line order (array), or their group; null where no line fits."""
+def rows(text: Column, rule: TableRule) -> Column:
+    """The table's rows as array<array<string>>, a stripped cell for each named group."""
     p = translate(rule.body)
     separator = rule.line_separator if rule.line_separator == "\n" else translate(rule.line_separator).java
     lines = F.filter(F.split(body(text, rule), separator), lambda l: strip(l) != "")
     marked = F.transform(lines, lambda l: F.regexp_replace(l, whole_line(p), MATCHED + CELL.join(f"${n}" for _, n in p.names)))
-    rows = F.transform(F.filter(marked, lambda m: m.startswith(MATCHED)), lambda m: F.transform(F.split(F.substring(m, 2, 1 << 30), CELL), strip))
+    return F.transform(F.filter(marked, lambda m: m.startswith(MATCHED)), lambda m: F.transform(F.split(F.substring(m, 2, 1 << 30), CELL), strip))
+
+
+def columns(text: Column, rule: TableRule, options: Options, found: Column | None = None) -> dict[str, Column]:
+    """Each named column's values in line order (array), or their group; null where no line fits.
+
+    ``found`` is what :func:`rows` gives, where a column holds it already: else each column looks anew.
+    """
+    p = translate(rule.body)
+    found = rows(text, rule) if found is None else found
     grouped = dict(rule.groups)
     out = {}
     for place, (name, _) in enumerate(p.names):
         kind = column_type(name, rule)
-        cells = F.transform(rows, _cell(place, kind, options))
+        cells = F.transform(found, _cell(place, kind, options))
         out[name] = group(cells, grouped[name], kind) if name in grouped else let(cells, lambda c: F.when(F.size(c) > 0, c))
     return out

@@ -78,11 +78,12 @@ def _staged(frame: DataFrame, template: Template, text: Column, name: str) -> Da
     return computed(frame.withColumn(name + "_", made), F.col(name + "_"), name).drop(name + "_")
 
 
-def compile_template(template: Template, text: Column, prepared: bool = False, boxes: Column | None = None) -> Compiled:
+def compile_template(template: Template, text: Column, prepared: bool = False, boxes: Column | None = None, table_rows: Sequence[Column] = ()) -> Compiled:
     """Native expressions for every field of a template; constants stay literals, so that patterns are compiled once.
 
     ``prepared`` says that the text has gone through the template's preparation. A field with an area
-    sees what the word ``boxes`` show there, unprepared; without boxes it sees the text.
+    sees what the word ``boxes`` show there, unprepared; without boxes it sees the text. ``table_rows``
+    are columns that hold the tables' rows already.
     """
     options = template.options
     ready = text if prepared else _ready(template, text)
@@ -105,8 +106,8 @@ def compile_template(template: Template, text: Column, prepared: bool = False, b
             searched.add(spec.name)
             if not spec.group:
                 several.add(spec.name)
-    for rule in template.tables:
-        for name, value in tables.columns(ready, rule, options).items():
+    for rule, found in zip(template.tables, table_rows or [None] * len(template.tables)):
+        for name, value in tables.columns(ready, rule, options, found).items():
             out[name] = value
             searched.discard(name)
             several = several - {name} if name in dict(rule.groups) else several | {name}
@@ -138,7 +139,10 @@ def extract_wide(docs: DataFrame, template: Template, text_column: str = "text")
     if staged:
         matched = _staged(matched, template, text, "__ready")
     boxes = F.col("boxes") if "boxes" in docs.columns else None
-    compiled = compile_template(template, F.col("__ready") if staged else text, staged, boxes)
+    ready = F.col("__ready") if staged else _ready(template, text)
+    held = [f"__rows{k}" for k in range(len(template.tables))]
+    matched = matched.withColumns({name: tables.rows(ready, rule) for name, rule in zip(held, template.tables)})
+    compiled = compile_template(template, F.col("__ready") if staged else text, staged, boxes, [F.col(c) for c in held])
     found = computed_struct(matched, compiled.raw, "__found")
     made, broken = compiled.finish(F.col("__found"))
     columns: dict[str, Column] = {}

@@ -726,7 +726,7 @@ def score_records(spark, sf_dir):
 
     found = extract(invoices(spark, sf_dir, "plain"), [template("plain")]).where("error is null").select("doc_id", "record")
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").select("l_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey"))
-    golden = F.struct(F.col("o_orderkey").cast("string").alias("invoice_number"), F.col("o_totalprice").alias("amount"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("1999-01-01")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"))
+    golden = F.struct(F.col("o_orderkey").cast("string").alias("invoice_number"), F.col("o_totalprice").alias("amount"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("1899-01-01")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"))
     return score(found, orders.select(F.col("o_orderkey").alias("doc_id"), F.parse_json(F.to_json(golden)).alias("record"))).select("doc_id", "matched", "total")
 
 

@@ -24,12 +24,17 @@ def orders_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def money(value: Column) -> Column:
-    return F.format_string("%.2f", value)
+    return value.cast("decimal(18,2)").cast("string")
 
 
 def european(value: Column) -> Column:
     """1.234,56"""
-    return F.translate(F.format_string("%,.2f", value), ",.", ".,")
+    return F.translate(grouped(value), ",.", ".,")
+
+
+def grouped(value: Column) -> Column:
+    """1,234.56"""
+    return F.format_number(value.cast("decimal(18,2)"), 2)
 
 
 def unit(partkey: Column) -> Column:
@@ -63,8 +68,8 @@ def sections() -> Column:
 
 
 def tabular() -> Column:
-    line = lambda x: F.concat(F.date_format(x["l_shipdate"], "MM/dd/yyyy"), F.lit("  "), x["l_partkey"].cast("string"), F.lit("  "), F.format_string("%,.2f", x["l_extendedprice"]), F.lit("\n   \n"))
-    return F.concat(*_head(F.date_format("o_orderdate", "MMMM d, yyyy")), F.lit("Shipped   Part   Amount\n"), _all(line), F.lit("End of table\nTotal: "), F.format_string("%,.2f", "o_totalprice"), F.lit(" USD\n"))
+    line = lambda x: F.concat(F.date_format(x["l_shipdate"], "MM/dd/yyyy"), F.lit("  "), x["l_partkey"].cast("string"), F.lit("  "), grouped(x["l_extendedprice"]), F.lit("\n   \n"))
+    return F.concat(*_head(F.date_format("o_orderdate", "MMMM d, yyyy")), F.lit("Shipped   Part   Amount\n"), _all(line), F.lit("End of table\nTotal: "), grouped(F.col("o_totalprice")), F.lit(" USD\n"))
 
 
 LAYOUTS = {"plain": plain, "nested": nested, "sections": sections, "tabular": tabular}
