@@ -76,9 +76,12 @@ def test_query_equals_brute_force(spark, sf_dir):
     rows = jpeg.op8_progressive_jpeg(spark, sf_dir).collect()
     vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
     assert len(rows) == len(vectors)
-    for r in rows[:40]:
+    large = [r for r in rows if r.vec_id % 64 == 0]
+    assert large and min(r.width for r in large) >= 72 and {jpeg_fixture.settings(r.vec_id) for r in rows} == {(f, n) for f in (1, 2) for n in (0, 2, 5)}
+    for r in [*rows[:40], *large[:3]]:
         image = jpeg_fixture.picture(r.vec_id, np.array(vectors[r.vec_id], float))
-        want = inverse(jpeg_fixture.planes(image, 2), *image.shape[:2], 2)
+        factor, _ = jpeg_fixture.settings(r.vec_id)
+        want = inverse(jpeg_fixture.planes(image, factor), *image.shape[:2], factor)
         got = np.frombuffer(bytes(r.rgb), np.uint8).reshape(r.height, r.width, 3)
         assert np.abs(got.astype(int) - want).max() <= 1
 
