@@ -47,20 +47,19 @@ def _codes(counts: bytes, symbols: bytes) -> tuple[list[int], dict[int, int]]:
 
 
 class _Bits:
+    """Bits of one segment: ``windows`` holds the three bytes from each byte on as one number, so a look takes one access."""
+
     def __init__(self, data: bytes) -> None:
-        self.data, self.at, self.end = data + b"\0\0\0\0", 0, 8 * len(data)
+        raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int64)
+        self.windows = (raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]).tolist()
+        self.at, self.end = 0, 8 * len(data)
 
     def code(self, table: tuple[list[int], dict[int, int]]) -> int:
         at = self.at
-        d, i = self.data, at >> 3
         if at >= self.end:
             raise Broken("the scan ends early")
-        next16 = ((d[i] << 16 | d[i + 1] << 8 | d[i + 2]) >> (8 - (at & 7))) & 0xFFFF
-        entry = table[0][next16 >> 8]
-        if not entry:
-            entry = next((e for n in range(9, 17) if (e := table[1].get(n << 16 | next16 >> (16 - n)))), 0)
-            if not entry:
-                raise Broken("no such code")
+        next16 = self.windows[at >> 3] >> (8 - (at & 7)) & 0xFFFF
+        entry = table[0][next16 >> 8] or _long(table, next16)
         self.at = at + (entry >> 8)
         return entry & 255
 
@@ -68,19 +67,26 @@ class _Bits:
         if not n:
             return 0
         at = self.at
-        d, i = self.data, at >> 3
         if n > 16:
             raise Broken("too long a number")
         if at + n > self.end:
             raise Broken("the scan ends early")
         self.at = at + n
-        return ((d[i] << 16 | d[i + 1] << 8 | d[i + 2]) >> (24 - (at & 7) - n)) & ((1 << n) - 1)
+        return self.windows[at >> 3] >> (24 - (at & 7) - n) & ((1 << n) - 1)
 
     def signed(self, n: int) -> int:
         value = self.take(n)
         return value if not n or value >> (n - 1) else value - (1 << n) + 1
 
 
+def _long(table: tuple[list[int], dict[int, int]], next16: int) -> int:
+    """The entry of a code of over eight bits."""
+    for n in range(9, 17):
+        if entry := table[1].get(n << 16 | next16 >> (16 - n)):
+            return entry
+    raise Broken("no such code")
+
+
 class _Component:
     def __init__(self, h: int, v: int, table: int) -> None:
         self.h, self.v, self.table = h, v, table
@@ -91,44 +97,69 @@ class _Component:
         self.coefficients = [0] * (64 * self.across * self.down)
 
 
+# Both hot loops read bits in place: a call for each would take longer than the reading.
+
+
 def _first_ac(bits: _Bits, c: list[int], at: int, codes: tuple, low: int, first: int, last: int, run: int) -> int:
     if run:
         return run - 1
-    k = first
+    k, p, end, windows, short = first, bits.at, bits.end, bits.windows, codes[0]
     while k <= last:
-        rs = bits.code(codes)
-        r, s = rs >> 4, rs & 15
+        if p >= end:
+            raise Broken("the scan ends early")
+        next16 = windows[p >> 3] >> (8 - (p & 7)) & 0xFFFF
+        entry = short[next16 >> 8] or _long(codes, next16)
+        p += entry >> 8
+        r, s = entry >> 4 & 15, entry & 15
         if s:
             k += r
             if k > last:
                 raise Broken("a coefficient outside its band")
-            c[at + k] = bits.signed(s) * (1 << low)
+            if p + s > end:
+                raise Broken("the scan ends early")
+            value = windows[p >> 3] >> (24 - (p & 7) - s) & ((1 << s) - 1)
+            p += s
+            c[at + k] = (value if value >> (s - 1) else value - (1 << s) + 1) * (1 << low)
             k += 1
         elif r == 15:
             k += 16
         else:
+            bits.at = p
             return (1 << r) + bits.take(r) - 1
+    bits.at = p
     return 0
 
 
 def _refine_ac(bits: _Bits, c: list[int], at: int, codes: tuple, low: int, first: int, last: int, run: int) -> int:
     one = 1 << low
-    k = first
+    k, p, end, windows = first, bits.at, bits.end, bits.windows
     if not run:
+        short = codes[0]
         while k <= last:
-            rs = bits.code(codes)
-            r, s = rs >> 4, rs & 15
-            new = 0
-            if s:
-                new = one if bits.take(1) else -one
+            if p >= end:
+                raise Broken("the scan ends early")
+            next16 = windows[p >> 3] >> (8 - (p & 7)) & 0xFFFF
+            entry = short[next16 >> 8] or _long(codes, next16)
+            p += entry >> 8
+            r, new = entry >> 4 & 15, 0
+            if entry & 15:
+                if p >= end:
+                    raise Broken("the scan ends early")
+                new = one if windows[p >> 3] >> (23 - (p & 7)) & 1 else -one
+                p += 1
             elif r < 15:
+                bits.at = p
                 run = (1 << r) + bits.take(r)
+                p = bits.at
                 break
             while k <= last:
                 value = c[at + k]
                 if value:
-                    if bits.take(1) and not abs(value) & one:
+                    if p >= end:
+                        raise Broken("the scan ends early")
+                    if windows[p >> 3] >> (23 - (p & 7)) & 1 and not abs(value) & one:
                         c[at + k] = value + (one if value > 0 else -one)
+                    p += 1
                 elif r == 0:
                     break
                 else:
@@ -138,12 +169,17 @@ def _refine_ac(bits: _Bits, c: list[int], at: int, codes: tuple, low: int, first
                 c[at + k] = new
             k += 1
     if run:
-        while k <= last:
-            value = c[at + k]
-            if value and bits.take(1) and not abs(value) & one:
-                c[at + k] = value + (one if value > 0 else -one)
-            k += 1
+        left = c[at + k : at + last + 1]
+        if any(left):
+            for place, value in enumerate(left, at + k):
+                if value:
+                    if p >= end:
+                        raise Broken("the scan ends early")
+                    if windows[p >> 3] >> (23 - (p & 7)) & 1 and not abs(value) & one:
+                        c[place] = value + (one if value > 0 else -one)
+                    p += 1
         run -= 1
+    bits.at = p
     return run
 
 
