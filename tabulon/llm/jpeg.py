@@ -297,6 +297,8 @@ def _decode(data: bytes) -> np.ndarray:
                     break
                 end += 2
             first, last = (0, 0) if sequential else (body[1 + 2 * n], body[2 + 2 * n])
+            if last > 63 or first > last or (first == 0 and last) or (first and n != 1):
+                raise Broken("a band that no scan may have")
             units = (-(-width // (8 * hmax)), -(-height // (8 * vmax)))
             _scan(data[at:end], used, first, last, 0 if sequential else body[3 + 2 * n] >> 4, 0 if sequential else body[3 + 2 * n] & 15, restart, units, sequential)
             at, scans = end, scans + 1

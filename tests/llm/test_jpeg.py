@@ -55,6 +55,18 @@ def test_broken_bytes_are_refused():
             pass
 
 
+@pytest.mark.parametrize("band", [(1, 64), (1, 255), (9, 5), (0, 5), (64, 70)])
+def test_a_band_outside_the_block_is_refused(band):
+    data = bytearray(jpeg_fixture.encode(jpeg_fixture.picture(3, np.arange(64.0))))
+    scans = [i for i in range(len(data) - 1) if data[i : i + 2] == b"\xff\xda"]
+    for at in scans:
+        bent = bytearray(data)
+        place = at + 5 + 2 * bent[at + 4]
+        bent[place : place + 2] = bytes(band)
+        with pytest.raises(jpeg.Broken, match="band"):
+            jpeg.decode(bytes(bent))
+
+
 def test_column(spark):
     good = jpeg_fixture.encode(jpeg_fixture.picture(1, np.arange(9.0)))
     rows = [(1, bytearray(good), "x"), (1, bytearray(good), "x"), (None, bytearray(good), None), (2, None, "y"), (3, bytearray(b""), "z"), (4, bytearray(good[:100]), "z")]
