@@ -23,16 +23,14 @@ def literal_map(pairs: Mapping[str, str | int | None]) -> Column:
     return F.expr(f"map({', '.join(quoted(x) for pair in pairs.items() for x in pair)})")
 
 
-def computed_struct(frame: DataFrame, columns: Sequence[Column], name: str) -> DataFrame:
-    """Adds a struct of fields c0, c1, … that later steps read and cannot inline.
+def computed_columns(frame: DataFrame, columns: Sequence[Column], name: str) -> DataFrame:
+    """Adds columns ``name``0, ``name``1, … that later steps read and cannot inline; those that none reads are not made.
 
-    The columns are a projection of their own, as generated code; the explode above it only holds
-    filters and projections off.
+    A random index, always 0, into an array of one keeps filters and projections off, as a generator
+    would; but a generator makes all its columns whenever one of them is read.
     """
-    names = [f"{name}{k}" for k in range(len(columns))]
-    made = frame.select("*", *[c.alias(n) for c, n in zip(columns, names)])
-    held = F.struct(*[F.col(n).alias(f"c{k}") for k, n in enumerate(names)])
-    return made.select(*frame.columns, F.explode(F.array(held)).alias(name))
+    held = lambda c: F.get(F.array(c), F.rand(0).cast("int"))
+    return frame.select("*", *[held(c).alias(f"{name}{k}") for k, c in enumerate(columns)])
 
 
 def computed(frame: DataFrame, value: Column, name: str) -> DataFrame:

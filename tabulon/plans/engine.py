@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.binding import computed, computed_struct, let
+from tabulon.functions.binding import computed, computed_columns, let
 from tabulon.functions.text import prepare
 from tabulon.operators import enrich, fields, lines, matching, tables, validate, wordboxes
 from tabulon.sources.templates import PARSERS, CustomField, LinesField, RegexField, StaticField, Template, TemplateError, by_priority, read_templates
@@ -34,8 +34,8 @@ class Compiled:
     def struct(self) -> Column:
         return F.struct(*[c.alias(f"c{k}") for k, c in enumerate(self.raw)])
 
-    def finish(self, s: Column) -> tuple[dict[str, Column], Column]:
-        """Fields by name, null where absent, and whether a number could not be read; ``s`` is the evaluated struct."""
+    def finish(self, s: Column | Mapping[str, Column]) -> tuple[dict[str, Column], Column]:
+        """Fields by name, null where absent, and whether a number could not be read; ``s`` is the evaluated struct, or its fields."""
         out: dict[str, Column] = {}
         broken = F.lit(False)
         for name, k in self.at.items():
@@ -141,10 +141,10 @@ def extract_wide(docs: DataFrame, template: Template, text_column: str = "text")
     boxes = F.col("boxes") if "boxes" in docs.columns else None
     ready = F.col("__ready") if staged else _ready(template, text)
     held = [f"__rows{k}" for k in range(len(template.tables))]
-    matched = matched.withColumns({name: tables.rows(ready, rule) for name, rule in zip(held, template.tables)})
+    matched = computed_columns(matched, [tables.rows(ready, rule) for rule in template.tables], "__rows")
     compiled = compile_template(template, F.col("__ready") if staged else text, staged, boxes, [F.col(c) for c in held])
-    found = computed_struct(matched, compiled.raw, "__found")
-    made, broken = compiled.finish(F.col("__found"))
+    found = computed_columns(matched, compiled.raw, "__found")
+    made, broken = compiled.finish({f"c{k}": F.col(f"__found{k}") for k in range(len(compiled.raw))})
     columns: dict[str, Column] = {}
     for name, value in made.items():
         if name in compiled.several:
@@ -222,36 +222,60 @@ _FOUND = T.StructType([
 ])
 
 
+def _listed(boxes: pa.Array) -> list[list[dict] | None]:
+    """As to_pylist, a field at a time: a call for each value takes longer than what is done with it."""
+    if boxes.null_count == len(boxes):
+        return [None] * len(boxes)
+    each = boxes.values
+    if each.null_count:
+        return boxes.to_pylist()
+    names = [f.name for f in each.type]
+    dicts = [dict(zip(names, row)) for row in zip(*[each.field(n).to_pylist() for n in names])]
+    at = boxes.offsets.to_pylist()
+    return [dicts[a:b] if there else None for a, b, there in zip(at, at[1:], boxes.is_valid().to_pylist())]
+
+
 def _by_python(text: Column, which: Column, templates: Mapping[int, Template], boxes: Column | None) -> Column:
     """What the Python dialect makes of each text by the template of its number; one function for all templates, null for others' texts."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(_FOUND)
+    if not any(getattr(f, "area", None) for t in templates.values() for f in t.fields):
+        boxes = None
 
     @F.arrow_udf(_FOUND)
     def run(texts: pa.Array, numbers: pa.Array, words: pa.Array) -> pa.Array:
         from tabulon.operators import python_dialect
 
-        out = []
-        for raw, k, own in zip(texts.to_pylist(), numbers.to_pylist(), words.to_pylist()):
+        out = {f.name: [] for f in kind}
+        absent, known = [], {}
+
+        def add(**values) -> None:
+            absent.append(not values)
+            for name, held in out.items():
+                held.append(values.get(name))
+
+        for raw, k, own in zip(texts.to_pylist(), numbers.to_pylist(), _listed(words)):
             if raw is None or k not in templates:
-                out.append(None)
+                add()
                 continue
             template = templates[k]
             try:
                 made = python_dialect.extract(raw, template, own)
             except ValueError:
-                out.append({"json": None, "names": [], "missing": [], "unknown": [], "warnings": [], "error": "number", "lineless": template.declares_lines})
+                add(names=[], missing=[], unknown=[], warnings=[], error="number", lineless=template.declares_lines)
                 continue
             names = list(made)
-            odd = list(validate.unknown(names, extra=template.options.extra_fields))
-            lacking = [n for n in dict.fromkeys(template.required) if n not in made]
-            error = "strict_fields" if odd and template.options.strict_fields else "missing" if lacking else None
-            out.append({
-                "json": python_dialect.as_json(made), "names": names, "missing": lacking, "unknown": odd, "error": error,
-                "warnings": python_dialect.warnings(made, template), "lineless": python_dialect.lineless(made, template),
-            })
-        return pa.array(out, kind)
+            if (key := (k, *names)) not in known:
+                odd = list(validate.unknown(names, extra=template.options.extra_fields))
+                lacking = [n for n in dict.fromkeys(template.required) if n not in made]
+                known[key] = odd, lacking, "strict_fields" if odd and template.options.strict_fields else "missing" if lacking else None
+            odd, lacking, error = known[key]
+            add(
+                json=python_dialect.as_json(made), names=names, missing=lacking, unknown=odd, error=error,
+                warnings=python_dialect.warnings(made, template), lineless=python_dialect.lineless(made, template),
+            )
+        return pa.StructArray.from_arrays([pa.array(out[f.name], f.type) for f in kind], fields=list(kind), mask=pa.array(absent, pa.bool_()))
 
     nothing = F.lit(None).cast("array<struct<page:int,x0:double,y0:double,x1:double,y1:double,text:string>>")
     return run(text, which, nothing if boxes is None else boxes)
