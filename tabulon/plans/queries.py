@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import dates, identifiers, numbers
 from tabulon.functions import text as tx
+from tabulon.functions.binding import computed
 from tabulon.operators import candidates, cascade, enrich, fields, labels, lines, matching, tables, validate, wordboxes
 from tabulon.plans.engine import extract, extract_wide
 from tabulon.sinks import flat
@@ -301,8 +302,8 @@ def lineless(spark, sf_dir):
 @query(f"WITH {ITEMS} SELECT l_orderkey AS doc_id, pos, l_partkey AS part, strftime(l_shipdate, '%Y-%m-%d') AS shipped, l_extendedprice AS amount_line FROM items")
 def tables_columns(spark, sf_dir):
     rule = make_template({**TEMPLATES["tabular"], "tables": [{k: v for k, v in TEMPLATES["tabular"]["tables"][0].items() if k != "fields"}]}).tables[0]
-    found = tables.columns(F.col("text"), rule, template("tabular").options)
-    rows = invoices(spark, sf_dir, "tabular").select("doc_id", *[v.alias(k) for k, v in found.items()]).select("doc_id", F.posexplode(F.arrays_zip("part", "date_shipped", "amount_line")).alias("pos", "row"))
+    found = tables.columns(F.col("text"), rule, template("tabular").options, F.col("found"))
+    rows = computed(invoices(spark, sf_dir, "tabular"), tables.rows(F.col("text"), rule), "found").select("doc_id", *[v.alias(k) for k, v in found.items()]).select("doc_id", F.posexplode(F.arrays_zip("part", "date_shipped", "amount_line")).alias("pos", "row"))
     return rows.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "row.part", F.date_format("row.date_shipped", "yyyy-MM-dd").alias("shipped"), "row.amount_line")
 
 
