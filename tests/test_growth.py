@@ -61,3 +61,17 @@ def test_boxes_are_not_sent_without_areas(spark):
 
     made = make_template({"keywords": "x", "required_fields": ["issuer"]})
     assert "boxes" not in _plan(engine.extract(docs, [made], engine="python").select("id", "record")).split("ArrowEvalPython")[1].split("\n")[0]
+
+
+def test_accents_go_by_pieces():
+    import tracemalloc
+
+    from tabulon.functions import text
+
+    every = pa.array([None, "", *[f"é{k}" + "ü" * 5_000 for k in range(2_000)]])
+    tracemalloc.start()
+    got = text.strip_accents.func(every)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist()[:3] == [None, "", "e0" + "u" * 5_000] and len(got) == len(every) and len(text.strip_accents.func(every.slice(0, 0))) == 0
+    assert peak < every.nbytes / 2
