@@ -12,9 +12,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of the value, which is evaluated once however often the body refers to it.
 
     Within conditional branches and higher-order functions the optimizer doesn't share equal
-    subexpressions, so an extraction that is named three times would run three times.
+    subexpressions, so an extraction that is named three times would run three times. A fold over
+    nothing hands the value to its last step; taking the element of a transformed array would derive
+    the type of the whole body again for each row.
     """
-    return F.transform(F.array(value), lambda v: body(v))[0]
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, lambda v: body(v))
 
 
 def literal_map(pairs: Mapping[str, str | int | None]) -> Column:

@@ -75,3 +75,13 @@ def test_accents_go_by_pieces():
     tracemalloc.stop()
     assert got.to_pylist()[:3] == [None, "", "e0" + "u" * 5_000] and len(got) == len(every) and len(text.strip_accents.func(every.slice(0, 0))) == 0
     assert peak < every.nbytes / 2
+
+
+def test_let_derives_no_types_for_each_row(spark):
+    from pyspark.sql import functions as F
+
+    from tabulon.functions.binding import let
+
+    frame = spark.range(2).select(F.when(F.col("id") > 0, F.col("id")).alias("x"))
+    bound = frame.select(let(F.col("x"), lambda v: F.struct(v.alias("a"), (v + v).alias("b"))).alias("s"))
+    assert sorted((r.s.a or 0, r.s.b or 0) for r in bound.collect()) == [(0, 0), (1, 2)] and "transform(" not in _plan(bound)
