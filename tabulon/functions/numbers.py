@@ -33,7 +33,8 @@ def parse_number(value: Column, decimal: str = ".") -> Column:
 def parse_integer(value: Column, decimal: str = ".") -> Column:
     """As parse_number, cut toward zero."""
     number = parse_number(value, decimal)
-    return F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).try_cast("bigint")
+    cut = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).try_cast("bigint")
+    return F.when(value.rlike("^[0-9]{1,15}$"), value.try_cast("bigint")).otherwise(cut)  # exact as a double
 
 
 def extract_number(value: Column) -> Column:

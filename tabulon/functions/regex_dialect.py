@@ -175,6 +175,64 @@ def whole_line(pattern: Pattern) -> str:
     return f"{FLAGS}^(?s:.)*?(?:{pattern.java.removeprefix(FLAGS)})(?s:.)*$"
 
 
+@lru_cache(maxsize=4096)
+def line_form(source: str) -> str | None:
+    """The pattern, without flags, for use within a text of many lines: nothing in it takes a line's end.
+
+    Null where it can't be said so: lines looked at one by one are then the only way. Anchors need
+    the flag (?m) of the pattern that it becomes a part of.
+    """
+    java = translate(source).java.removeprefix(FLAGS)
+    if re.search(r"\n|\(\?(?!:)|[*+?}]\+", java):
+        return None
+    out, i = [], 0
+    while i < len(java):
+        c = java[i]
+        if c == "\\":
+            kind = java[i + 1]
+            if kind in "sWD":
+                out.append(rf"[\{kind}&&[^\n]]")
+            elif kind in "Swdb" or not kind.isalnum():
+                out.append(java[i : i + 2])
+            else:
+                return None
+            i += 2
+        elif c == "[":
+            end = i + 1
+            while java[end] != "]" or end == i + 1 or java[i + 1 : end] == "^":
+                if java[end] == "\\":
+                    if java[end + 1].isalnum() and java[end + 1] not in "sSwWdD":
+                        return None
+                    end += 1
+                end += 1
+            body = java[i : end + 1]
+            if body.startswith("[^"):
+                body = body[:-1] + r"\n]"
+            elif re.search(r"\\[sWD]|[\0-\n]", body):
+                body = rf"[{body}&&[^\n]]"
+            out.append(body)
+            i = end + 1
+        else:
+            out.append(c)
+            i += 1
+    return "".join(out)
+
+
+def at_start(source: str) -> bool:
+    """The pattern fits at a text's start only."""
+    parsed = re._parser.parse(source)
+    return bool(parsed) and str(parsed[0][0]) == "AT" and str(parsed[0][1]) == "AT_BEGINNING"
+
+
+def literal(source: str) -> str | None:
+    """What a pattern matches if that is one text only, none of whose ends is its beginning too; matches then can't overlap."""
+    parsed = re._parser.parse(source)
+    if not parsed or parsed.state.flags & ~re.UNICODE.value or any(str(op) != "LITERAL" for op, _ in parsed):
+        return None
+    text = "".join(chr(value) for _, value in parsed)
+    return None if any(text.endswith(text[:k]) for k in range(1, len(text))) else text
+
+
 def portable(source: str) -> bool:
     try:
         translate(source)

@@ -51,6 +51,8 @@ def rename_aliases(rows: Column, columns: Sequence[str]) -> tuple[Column, list[s
                 new[alias] = lambda r, a=alias, b=tuple(before): F.when(F.coalesce(*[r[c].cast("string") for c in b]).isNotNull(), r[a])
             else:
                 left.remove(alias)
+    if not new:
+        return rows, left
     every = [*left, *[c for c in new if c not in left]]
     out = F.transform(rows, lambda r: F.struct(*[(new[c](r) if c in new else r[c]).alias(c) for c in every]))
     return out, every

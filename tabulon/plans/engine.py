@@ -91,6 +91,7 @@ def compile_template(template: Template, text: Column, prepared: bool = False, b
     searched: set[str] = set()
     several: set[str] = set()
     line_columns: dict[str, list[str]] = {}
+    units: set[str] = set()
     for spec in template.fields:
         area = getattr(spec, "area", None)
         source = ready if boxes is None or not area else wordboxes.crop(boxes, dict(area))
@@ -99,8 +100,13 @@ def compile_template(template: Template, text: Column, prepared: bool = False, b
         elif isinstance(spec, CustomField):
             out[spec.name] = PARSERS[spec.parser](source, dict(spec.settings), options)
         elif isinstance(spec, LinesField):
-            out[spec.name] = lines.line_items(source, spec, options)
-            line_columns[spec.name] = list(dict.fromkeys(c for r in spec.rules for c in lines.names(r)))
+            columns = list(dict.fromkeys(c for r in spec.rules for c in lines.names(r)))
+            typed = any("uom" in (dict(r.types) | dict(r.replace)) for r in spec.rules)
+            coded = spec.name == "lines" and "uom" in columns and not typed and not {"unece_code", *enrich.ALIASES} & set(columns)
+            out[spec.name] = lines.line_items(source, spec, options, {"unece_code": ("uom", enrich.unit_code)} if coded else None)
+            line_columns[spec.name] = columns + (["unece_code"] if coded else [])
+            if coded:
+                units.add(spec.name)
         elif isinstance(spec, RegexField):
             out[spec.name] = fields.field_pair(source, spec, options)
             searched.add(spec.name)
@@ -114,7 +120,7 @@ def compile_template(template: Template, text: Column, prepared: bool = False, b
     for name in ("lines", "tax_lines"):
         if name in line_columns:
             out[name], line_columns[name] = enrich.rename_aliases(out[name], line_columns[name])
-    if "lines" in line_columns:
+    if "lines" in line_columns and "lines" not in units:
         out["lines"], line_columns["lines"] = enrich.with_unit_codes(out["lines"], line_columns["lines"])
     if {"lines", "tax_lines"} <= set(line_columns):
         out["lines"], line_columns["lines"] = enrich.apply_tax(out["lines"], line_columns["lines"], out["tax_lines"], line_columns["tax_lines"])

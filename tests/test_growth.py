@@ -85,3 +85,43 @@ def test_let_derives_no_types_for_each_row(spark):
     frame = spark.range(2).select(F.when(F.col("id") > 0, F.col("id")).alias("x"))
     bound = frame.select(let(F.col("x"), lambda v: F.struct(v.alias("a"), (v + v).alias("b"))).alias("s"))
     assert sorted((r.s.a or 0, r.s.b or 0) for r in bound.collect()) == [(0, 0), (1, 2)] and "transform(" not in _plan(bound)
+
+
+def test_lines_by_one_pass_are_those_of_single_lines(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tabulon.operators import lines
+    from tabulon.sources.templates import make_template
+
+    texts = [
+        "S\nA 1\n  n x \nskip\n\r\n n \nt 5\n n after\nA 2\nn  y\x1c\r\n\n nz\nt 7 A 3\nA 4\nE\nn out\nS\nn lost\nA 5\nn q\nE\n", "S\nA 9\nE\nS\nn none\nt 1\nE", "S E", "S\n\nE", "", "nothing",
+        "S\nb a9\nA 6\nn\nt 8\nA 7\nt 9\nn p\nE tail E\nA 8\nE\n", "S A 1\nn a\nbn b t 1\n n c\nA٣\nn [d\n] e\nE",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    first = {"start": "S", "end": "E", "first_line": r"^A ?(?P<a>\d+)", "line": [r"n (?P<b>.*)", r"n(?P<b>)(?P<c>[^\]]*)$"], "last_line": [r"t (?P<d>[\d.]+)"], "skip_line": ["^skip", "lost"]}
+    rules = [
+        first, first | {"end_match": "last"}, {k: v for k, v in first.items() if k != "last_line"}, first | {"last_line": [r"t (?P<a>\d)", r"(?P<b>after)"]},
+        {"start": "S", "end": "E", "line": r"(?P<b>\w+)\s(?P<c>[^x]*)"}, {"start": "S", "end": "E", "line": [r"^A (?P<a>\d)", r"n (?P<b>.*)|t (?P<c>.)", r"(?P<b>q?)"], "skip_line": "skip"}, {"start": "S", "end": "E", "line": r"\d"},
+    ]
+    for settings in rules:
+        field = make_template({"keywords": "S", "fields": {"lines": {"parser": "lines", **settings}}}).fields[-1]
+        got = []
+        for passes in (True, False):
+            if not passes:
+                monkeypatch.setattr(lines, "in_one", lambda rule: False)
+            else:
+                assert lines.in_one(field.rules[0])
+            made = lines.line_items(F.col("text"), field, make_template({"keywords": "S"}).options)
+            got.append([r.s for r in docs.orderBy("id").select(F.to_json(made, {"ignoreNullFields": "false"}).alias("s")).collect()])
+            monkeypatch.undo()
+        assert got[0] == got[1], settings
+        assert sum(len(x) > 2 for x in got[0]) > 3
+
+
+def test_patterns_that_may_take_a_line_end_go_by_single_lines():
+    from tabulon.functions.regex_dialect import at_start, line_form, literal
+
+    assert [line_form(p) for p in (r"a\nb", r"[\n]", r"(?i)a", r"(?=a)b", r"a\Z", r"\x0a", "a*+b")] == [None] * 7
+    assert line_form(r"[^\]]*\s[\d.]\W" + "[\t-z]") == r"[^\]\n]*[\s&&[^\n]][\d.][\W&&[^\n]][[" + "\t" + r"-z]&&[^\n]]"
+    assert at_start("^a") and not at_start("^a|b") and not at_start("a^")
+    assert literal(r"END\nX") == "END\nX" and literal("aba") is None and literal("a.") is None
