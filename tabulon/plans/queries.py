@@ -271,9 +271,8 @@ def lines_skip(spark, sf_dir):
     """Lines of the block that aren't blank and aren't skipped, and those that are skipped."""
     rule = template("nested").fields[-1].rules[0]
     block = F.element_at(lines.blocks(F.col("text"), rule), 1)
-    some = F.filter(F.split(block, "\n"), lambda l: F.translate(l, "\r\n", "") != "")
-    skipped = F.filter(some, lambda l: lines._hit(l, rule.skip_line))
-    return invoices(spark, sf_dir, "nested").select("doc_id", (F.size(some) - F.size(skipped)).cast("bigint").alias("n_lines"), F.size(skipped).cast("bigint").alias("n_skipped"))
+    kept, skipped = lines.counts(block, rule)
+    return invoices(spark, sf_dir, "nested").select("doc_id", kept.cast("bigint").alias("n_lines"), skipped.cast("bigint").alias("n_skipped"))
 
 
 @query(f"WITH {ITEMS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, pos) AS place FROM items) SELECT l_orderkey AS doc_id, place AS pos, CASE l_returnflag WHEN 'R' THEN 'returned' ELSE l_returnflag END AS code, CAST(l_partkey AS VARCHAR) AS product, l_extendedprice AS price_subtotal FROM ranked")
