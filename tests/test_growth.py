@@ -125,3 +125,16 @@ def test_patterns_that_may_take_a_line_end_go_by_single_lines():
     assert line_form(r"[^\]]*\s[\d.]\W" + "[\t-z]") == r"[^\]\n]*[\s&&[^\n]][\d.][\W&&[^\n]][[" + "\t" + r"-z]&&[^\n]]"
     assert at_start("^a") and not at_start("^a|b") and not at_start("a^")
     assert literal(r"END\nX") == "END\nX" and literal("aba") is None and literal("a.") is None
+
+
+def test_scores_write_no_record_as_text(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tabulon.plans.score import score
+
+    rows = lambda *x: spark.createDataFrame(list(x), "doc_id int, j string").select("doc_id", F.try_parse_json("j").alias("record"))
+    want = rows((1, '{"a": "12/3", "b": "NaN", "c": "x 1", "d": true, "e": {"x": 1}, "f": null}'), (2, "[1]"), (3, '{"a": "1e0", "b": " 7", "c": "1899-01-01 00:00:00", "d": [1, 2]}'))
+    got = rows((1, '{"a": "12/3", "b": "nan", "c": "x 1", "d": "true", "e": {"x": 1}, "f": null}'), (3, '{"a": 1, "b": 7.0, "c": "1899-01-01", "d": "[3, 4]"}'))
+    made = score(got, want)
+    assert "from_json" not in _plan(made).lower() and "jsontostructs" not in _plan(made).lower()
+    assert {r.doc_id: (r.matched, r.total, r.lacking) for r in made.collect()} == {1: (5, 6, ["f"]), 2: (None, None, None), 3: (4, 4, [])}
