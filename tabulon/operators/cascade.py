@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.plans.engine import extract
@@ -40,14 +40,17 @@ def _honoured(runs: DataFrame, pins: dict[str, str], reader_column: str) -> Data
     return runs.where(wanted.isNull() | (wanted == F.col(reader_column)))
 
 
-def cascade(texts: DataFrame, templates: Sequence[Template], id_column: str = "doc_id", rank_column: str = "reader_rank", reader_column: str = "reader") -> DataFrame:
+def cascade(texts: DataFrame, templates: Sequence[Template], id_column: str = "doc_id", rank_column: str = "reader_rank", reader_column: str = "reader", wanted: Mapping[str, Column] | None = None) -> DataFrame:
     """Extracts from every reader's text and keeps the best run; a template that names a reader takes only that reader's.
 
-    The texts themselves aren't in the result.
+    The texts themselves aren't in the result. ``wanted`` names what is made of a run's columns when only
+    that is to be kept, besides id, rank, error and lineless: whole records are then neither sorted nor sent.
     """
     runs = without_texts(extract(texts.where(F.length(F.trim("text")) > 0), templates))
     if reader_column in texts.columns:
         runs = _honoured(runs, pinned(templates), reader_column)
+    if wanted is not None:
+        runs = runs.select(id_column, rank_column, "error", "lineless", *[value.alias(name) for name, value in wanted.items()])
     return best_run(runs, id_column, rank_column)
 
 

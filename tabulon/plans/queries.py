@@ -410,9 +410,8 @@ def cascade_best_reader(spark, sf_dir):
     spoilt = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("text")).otherwise(F.regexp_replace("text", r"Part \d+ qty [^\n]*\n", ""))
     both = printed.withColumn("run", F.explode(F.array(F.struct(F.lit(0).alias("reader_rank"), F.lit("quick").alias("reader"), spoilt.alias("text")), F.struct(F.lit(1).alias("reader_rank"), F.lit("slow").alias("reader"), F.col("text").alias("text"))))).select("doc_id", "run.*")
     made = make_template({**TEMPLATES["plain"], "keywords": ["Tabulon Trading", "ITEMS"]}, "plain.yml")
-    best = cascade.cascade(both, [made])
     n = F.greatest(F.size(F.try_variant_get("record", "$.lines", "array<variant>")), F.lit(0)).cast("bigint")
-    return best.select("doc_id", "reader_rank", n.alias("n_lines"))
+    return cascade.cascade(both, [made], wanted={"n_lines": n}).select("doc_id", "reader_rank", "n_lines")
 
 
 # Word boxes

@@ -138,3 +138,8 @@ def test_scores_write_no_record_as_text(spark, sf_dir):
     made = score(got, want)
     assert "from_json" not in _plan(made).lower() and "jsontostructs" not in _plan(made).lower()
     assert {r.doc_id: (r.matched, r.total, r.lacking) for r in made.collect()} == {1: (5, 6, ["f"]), 2: (None, None, None), 3: (4, 4, [])}
+
+
+def test_runs_leave_records_out_before_the_best_is_sought(spark, sf_dir):
+    plan = _plan(QUERIES["cascade_best_reader"](spark, sf_dir)).split("\n")
+    assert [x for x in plan if "min_by(" in x] and not any("record" in x for x in plan if "min_by(" in x)
