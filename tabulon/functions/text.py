@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tabulon.functions.binding import let
 from tabulon.functions.regex_dialect import replacement, translate
 
 _MARKS = dict.fromkeys(range(0x300, 0x363))
@@ -35,8 +36,13 @@ _WHITE = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680
 
 def strip(value: Column) -> Column:
     """Without white space of any kind at either end; trimming by a list of signs is dear, so plain ends are looked at first."""
-    plain = F.ascii(value).between(33, 126) & F.ascii(F.right(value, F.lit(1))).between(33, 126)
-    return F.when(plain, value).otherwise(F.trim(value, F.lit(_WHITE)))
+
+    def plain(v: Column) -> Column:
+        """Ends from ! to ~; the last one's code is taken once, not compared with both."""
+        return (v >= "!") & (v < "\x7f") & (F.abs(F.ascii(F.substring(v, -1, 1)) * 2 - (33 + 126)) <= 126 - 33)
+
+    every = lambda v: F.when((v == "") | plain(v), v).otherwise(F.trim(v, F.lit(_WHITE)))
+    return F.when(plain(value), value).otherwise(let(F.trim(value), every))
 
 
 def replace_all(value: Column, pairs: Sequence[tuple[str, str]]) -> Column:

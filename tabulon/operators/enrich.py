@@ -27,7 +27,11 @@ UNIT_CODES = {printed: code for code, several in _UNITS.items() for printed in s
 
 def unit_code(printed: Column) -> Column:
     """The unit's code; null for units that are not known."""
-    return F.try_element_at(literal_map(UNIT_CODES), F.lower(strip(printed)))
+    return stripped_unit_code(strip(printed))
+
+
+def stripped_unit_code(printed: Column) -> Column:
+    return F.try_element_at(literal_map(UNIT_CODES), F.lower(printed))
 
 
 def _rebuild(rows: Column, columns: Sequence[str], new: dict[str, "callable"]) -> Column:

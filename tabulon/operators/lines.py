@@ -270,24 +270,32 @@ def _rows_of_all(text: Column, rule: LineRule) -> Column:
 def _typed(found: Column, rule: LineRule, columns: Sequence[str], options: Options, every: Sequence[str], kinds: dict[str, str], also: Derived) -> Column:
     types, replace = dict(rule.types), dict(rule.replace)
     own = {c: k for k, (c, _) in enumerate(translate(rule.line[0]).names)} if simple(rule) else None
+    sources = list(dict.fromkeys(source for source, _ in also.values() if source in columns))
 
     def one(row: Column) -> Column:
-        cells, held = [], {}
+        """What further columns are made of is bound, so that it is made once."""
+        if not sources:
+            return of(row, {})
+        return let(F.struct(*[value(row, c).alias(c) for c in sources]), lambda bound: of(row, {c: bound[c] for c in sources}))
+
+    def value(row: Column, c: str) -> Column:
+        cell = row[c] if own is None else _stripped(row[own[c]], c, rule)
+        if c not in replace and types.get(c) is None:
+            return cell
+        if own is not None and not _bare(c, rule):
+            return let(cell, _replaced(replace.get(c, ()), types.get(c), options))
+        return let(replace_all(cell, replace[c]), _coerced(types.get(c), options)) if c in replace else coerce(cell, types.get(c), options)
+
+    def of(row: Column, held: dict[str, Column]) -> Column:
+        cells = []
         for c in every:
             if c not in columns:
                 cells.append(F.lit(None).cast(kinds[c]).alias(c))
                 continue
-            cell = row[c] if own is None else _stripped(row[own[c]], c, rule)
-            if own is not None and not _bare(c, rule):
-                made = let(cell, _replaced(replace.get(c, ()), types.get(c), options))
-            elif c in replace:
-                made = let(replace_all(cell, replace[c]), _coerced(types.get(c), options))
-            else:
-                made = coerce(cell, types.get(c), options)
+            made = held[c] if c in held else value(row, c)
             cells.append(made.cast(kinds[c]).alias(c))
-            held[c] = made
-        for name, (source, of) in also.items():
-            cells.append(of(held[source] if source in held else F.lit(None).cast("string")).alias(name))
+        for name, (source, make) in also.items():
+            cells.append(make(held[source] if source in held else F.lit(None).cast("string")).alias(name))
         return F.struct(*cells)
 
     return F.transform(found, one)

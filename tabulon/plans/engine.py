@@ -103,7 +103,7 @@ def compile_template(template: Template, text: Column, prepared: bool = False, b
             columns = list(dict.fromkeys(c for r in spec.rules for c in lines.names(r)))
             typed = any("uom" in (dict(r.types) | dict(r.replace)) for r in spec.rules)
             coded = spec.name == "lines" and "uom" in columns and not typed and not {"unece_code", *enrich.ALIASES} & set(columns)
-            out[spec.name] = lines.line_items(source, spec, options, {"unece_code": ("uom", enrich.unit_code)} if coded else None)
+            out[spec.name] = lines.line_items(source, spec, options, {"unece_code": ("uom", enrich.stripped_unit_code)} if coded else None)
             line_columns[spec.name] = columns + (["unece_code"] if coded else [])
             if coded:
                 units.add(spec.name)

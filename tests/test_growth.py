@@ -143,3 +143,14 @@ def test_scores_write_no_record_as_text(spark, sf_dir):
 def test_runs_leave_records_out_before_the_best_is_sought(spark, sf_dir):
     plan = _plan(QUERIES["cascade_best_reader"](spark, sf_dir)).split("\n")
     assert [x for x in plan if "min_by(" in x] and not any("record" in x for x in plan if "min_by(" in x)
+
+
+def test_strip_is_pythons(spark):
+    from pyspark.sql import functions as F
+
+    from tabulon.functions.text import strip
+
+    texts = ["", " ", "a", " a", "a ", "\t a \n", "\x1ca\x85", "!", "~", "\x7f", " \x7f ", "é", " é", " x　 ", "a b", "\xa0", " \xa0 ", "~ ~\r", None]
+    made = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k")
+    assert [r.s for r in made.select(strip(F.col("t")).alias("s")).collect()] == [t if t is None else t.strip() for t in texts]
+    assert _plan(made.select(strip(F.col("t")).alias("s"))).count("ascii(") == 2  # 4 before
