@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,9 +70,10 @@ def extract_records(spark, sf_dir):
     from tabulon.sources.rendered import LAYOUTS
 
     order = ("plain", "nested", "sections", "tabular")
-    which = F.pmod("o_orderkey", F.lit(4))
-    text = F.when(which == 0, LAYOUTS["plain"]()).when(which == 1, LAYOUTS["nested"]()).when(which == 2, LAYOUTS["sections"]()).otherwise(LAYOUTS["tabular"]())
-    printed = orders_with_items(spark, sf_dir).where(F.size("items") > 0).select(F.col("o_orderkey").alias("doc_id"), F.size("items").cast("bigint").alias("printed"), text.alias("text"))
+    chosen = lambda key, made: reduce(lambda so_far, k: so_far.when(F.pmod(key, F.lit(4)) == k, made(order[k])), (1, 2), F.when(F.pmod(key, F.lit(4)) == 0, made(order[0]))).otherwise(made(order[3]))
+    rows = orders_with_items(spark, sf_dir, lambda x: chosen("l_orderkey", lambda name: LAYOUTS[name][0](x)))
+    text = chosen("o_orderkey", lambda name: LAYOUTS[name][1](F.col("items")))
+    printed = rows.where(F.size("items") > 0).select(F.col("o_orderkey").alias("doc_id"), F.size("items").cast("bigint").alias("printed"), text.alias("text"))
     found = extract(printed, [template(x) for x in order]).where("error is null")
     items = lambda path: F.size(F.try_variant_get("record", path, "array<variant>"))
     n = F.coalesce(*[F.when(items(path) >= 0, items(path)) for path in ("$.lines", "$.part")], F.lit(1)).cast("bigint")

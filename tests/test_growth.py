@@ -25,6 +25,42 @@ def test_lines_join_last(spark, sf_dir):
     assert 0 < plan.index("(o_orderkey#") < plan.index("(o_custkey#")
 
 
+def test_lines_are_shuffled_as_they_lie_and_printed_before_they_are_collected(spark, sf_dir):
+    for name, printed, unread in (("static_fields", "Part ", "l_shipdate"), ("extract_records", "  note supplier ", None), ("lines_rules", " at ", "l_shipdate")):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+        collected, shuffled = plan.split("partial_collect_list")[1].split("REPARTITION_BY_COL")  # no such shuffle before
+        assert printed in collected and "collect_list" not in shuffled, name
+        assert unread is None or unread not in plan, name
+
+
+def test_invoices_are_those_printed_from_whole_lines(spark, tmp_path):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from tabulon.sources import rendered
+
+    day = datetime.datetime(1996, 2, 29)
+    line = lambda order, number, part, flag="A", price=1234.5, when=day: (order, part, 7, number, 2.0, price, 0.1, 0.2, flag, "O", when)
+    kind = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    lines = [
+        line(1, 2, 30), line(1, 1, 31, "R"), line(1, 1, 9, "N", -0.005), line(1, 1, 9, "N", -0.005, day + datetime.timedelta(1)), line(1, 1, 9, "N", -0.005), line(2, 1, None), line(2, None, 5, "A: A"),
+        line(2, 3, 6, None), line(2, 3, 6, "X"), line(3, 1, 8, "A", None), line(None, 1, 1), line(9, 1, 1),
+    ]
+    spark.createDataFrame(lines, kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(k, k % 2, 10.0 * k, day) for k in (1, 2, 3, 4, 4)] + [(None, 1, 1.0, day)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "c")], "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    whole = rendered.orders_with_items(spark, str(tmp_path))
+    in_order = {r.o_orderkey: [x.l_partkey for x in r["items"]] for r in whole.collect()}
+    assert in_order == {None: [], 1: [9, 9, 9, 31, 30], 2: [5, None, 6, 6], 3: [8], 4: []}
+    for layout, (each, page) in rendered.LAYOUTS.items():
+        got = sorted((r.doc_id or 0, r.text or "") for r in rendered.invoices(spark, str(tmp_path), layout).collect())
+        want = sorted((r.o_orderkey or 0, r.text or "") for r in whole.select("o_orderkey", page(F.transform("items", each)).alias("text")).collect())
+        assert got == want and len(got) == 6, layout
+        assert got[1][1].count("Part 9 ") == (3 if layout == "plain" else 0)
+
+
 def test_table_rows_are_found_once(spark, sf_dir):
     assert _plan(QUERIES["tables_columns"](spark, sf_dir)).count(r"(\d\d/\d\d/\d{4})") == 1
 
